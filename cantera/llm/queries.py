@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, mixing, ngram_join, quality
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
+    "op9_mix": mixing.op9_mix,
 }
 
 ORACLES = {

@@ -35,6 +35,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that may be broadcast; of a few numbers each, they take some tens of MB.
+BROADCAST_ROWS = 500_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Mark a written table of narrow rows for broadcast if it is small; else it is shuffled."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def words(text: Column) -> Column:
     """The words of a text, of characters outside U+0020 and U+0009 to U+000D."""
     return F.filter(F.split(text, SPACE), lambda w: w != "")
