@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, ngram_join, quality
+from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
+    "op8_quality_rules": line_rules.op8_quality_rules,
     "op9_mix": mixing.op9_mix,
+    "op10_secrets": secrets.op10_secrets,
 }
 
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op8_quality_rules": line_rules.OP8_SQL,
+    "op10_secrets": secrets.OP10_SQL,
 }
