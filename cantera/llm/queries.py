@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets
+from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
+    "op6_warc": warc.op6_warc,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_quality_rules": line_rules.op8_quality_rules,
     "op9_mix": mixing.op9_mix,
@@ -15,6 +16,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op6_warc": warc.OP6_SQL,
     "op8_quality_rules": line_rules.OP8_SQL,
     "op10_secrets": secrets.OP10_SQL,
 }
