@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets, warc
+from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets, sharding, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
+    "op4_sharding": sharding.op4_sharding,
     "op6_warc": warc.op6_warc,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_quality_rules": line_rules.op8_quality_rules,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_decontaminate": decontaminate.OP1_SQL,
+    "op4_sharding": sharding.OP4_SQL,
     "op6_warc": warc.OP6_SQL,
     "op8_quality_rules": line_rules.OP8_SQL,
     "op10_secrets": secrets.OP10_SQL,
