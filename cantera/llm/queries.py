@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets, sharding, warc
+from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
     "op4_sharding": sharding.op4_sharding,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_warc": warc.op6_warc,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_quality_rules": line_rules.op8_quality_rules,
