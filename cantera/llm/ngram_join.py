@@ -14,9 +14,9 @@ One-deletion neighbourhoods would buy two units of the pigeonhole for one segmen
 of its 3 to 4 shingles more; the allocation never picks them over two plain segments, so
 none is indexed.
 
-Links without all pairs: first, every index group is a star around its smallest probing
-member. Verified stars give components; then only probes to members of *other* components
-are joined, verified exactly and added. Equal sets are one class throughout.
+Links without all pairs: groups are compared as stars first, then across components only
+(see ``linking``), and pairs whose parity sketches differ in too many cells are left out
+before their sets are fetched and compared exactly. Equal sets are one class throughout.
 
 Defined results: rows with null, empty or blank text have the empty set and link with
 nothing; rows may repeat; component ids are the smallest non-null id of the component.
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .components import components
+from .linking import linked, shared_sigs
 from .shared import bounded, table, written
 from .shingles import mix, shingle_sets
 
@@ -42,6 +42,8 @@ PERCENT = 75
 RATIO = 2
 SPARE = 1.2
 
+#: Longs of a set's parity sketch.
+WORDS = 4
 #: Bits of a signature that hold its level.
 LEVEL_BITS = 6
 
@@ -91,21 +93,28 @@ def set_key(s: np.ndarray) -> int:
     return int(np.array(xxhash.xxh3_64_intdigest(s.tobytes()), np.uint64).view(np.int64))
 
 
+def parities(s: np.ndarray) -> list[int]:
+    """Parity of the set's members in each of 64 * WORDS cells; two sets' parities differ in no more cells than the sets in members."""
+    odd = np.bincount((s & np.uint64(64 * WORDS - 1)).astype(np.int64), minlength=64 * WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def _describe(percent: int):
     most, segments = levels(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, size, at, spare = [], [], [], []
+            key, size, at, spare, sketch = [], [], [], [], []
             for s in shingle_sets(batch.column(2)):
                 n = len(s)
                 size.append(n)
+                sketch.append(parities(s))
                 key.append(set_key(s) if n else None)
                 js, upper = bands(n, percent, most) if n else ((), 0)
                 at.append(list(js))
                 spare.append([max(0, len(subsets(s, segments[j])[0]) - min(most[j], upper) - 1) for j in js])
-            cols = [batch.column(0), batch.column(1), pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(spare, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "key", "n", "levels", "spare"])
+            cols = [batch.column(0), batch.column(1), pa.array(key, pa.int64()), pa.array(size, pa.int64()), pa.array(at, pa.list_(pa.int32())), pa.array(spare, pa.list_(pa.int32())), pa.array(sketch, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "th", "key", "n", "levels", "spare", "sketch"])
 
     return run
 
@@ -136,27 +145,6 @@ def _index(percent: int):
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (sig, key), the distinct ones whose sig has two keys or more."""
-    last: tuple[int, int, bool] | None = None  # sig, key, and whether it has been passed on
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sig, key = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        if last is not None:
-            sig, key = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], key))
-        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])))
-        sig, key = sig[fresh], key[fresh]
-        same = sig[1:] == sig[:-1]
-        out = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        passed = bool(out[-1])
-        if last is not None and last[2]:
-            passed, out[0] = passed or len(out) == 1, False
-        last = (int(sig[-1]), int(key[-1]), passed)
-        if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(key[out])], ["sig", "key"])
-
-
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[int] = set()
     for batch in batches:
@@ -198,12 +186,12 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """(id, n, component) for every row of ``docs``."""
     body = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = body.schema["id"].dataType.simpleString()
-    rows = body.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_describe(percent), f"id {kind}, th bigint, key bigint, n bigint, levels array<int>, spare array<int>")
+    rows = body.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_describe(percent), f"id {kind}, th bigint, key bigint, n bigint, levels array<int>, spare array<int>, sketch array<bigint>")
     rows = written(rows, "rows")
-    classes = rows.filter("n > 0").groupBy("key").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("levels").alias("levels"), F.first("spare").alias("spare"))
+    classes = written(rows.filter("n > 0").groupBy("key").agg(F.min("th").alias("th"), F.first("n").alias("n"), F.first("levels").alias("levels"), F.first("spare").alias("spare"), F.first("sketch").alias("sketch")), "classes")
 
     sigs = body.select("text").mapInArrow(_index(percent), "sig bigint, key bigint")
-    groups = written(sigs.repartition("sig").sortWithinPartitions("sig", "key").mapInArrow(_shared, "sig bigint, key bigint"), "groups")
+    groups = written(shared_sigs(sigs), "groups")
 
     # Probes: all subsets of a set but the most frequent ones, as far as its slack goes.
     bits = (1 << LEVEL_BITS) - 1
@@ -213,27 +201,15 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rank = F.row_number().over(Window.partitionBy("key", "level").orderBy(F.desc("g"), "sig"))
     members = written(ranked.withColumn("probe", rank > F.col("spare")).select("sig", F.struct("n", "key").alias("m"), "probe"), "members")
 
-    # Stars: each group's smallest probing member, and the members that it may link to.
-    heads = members.filter("probe").groupBy("sig").agg(F.min("m").alias("head"))
-    near = F.col("m.n") * percent <= F.col("head.n") * 100
-    stars = members.join(heads, "sig").filter(F.col("m") > F.col("head")).filter(near).select(F.col("head.key").alias("a"), F.col("m.key").alias("b")).distinct()
-    stars = written(stars, "stars")
-    links = written(_verify(stars, body, classes, percent), "links")
-
-    # Probes across components.
-    roots = components(links)
-    known = members.join(roots.withColumnRenamed("node", "key"), F.col("m.key") == F.col("key"), "left").select("sig", "m", "probe", F.coalesce("root", F.col("m.key")).alias("root"))
-    known = written(known, "known")
-    mixed = known.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("sig")
-    open_ = written(known.join(mixed, "sig", "left_semi"), "open")
-    p = open_.filter("probe").select("sig", F.col("m").alias("p"), F.col("root").alias("pr"))
-    q = open_.select(F.col("sig").alias("_sig"), F.col("m").alias("q"), F.col("root").alias("qr"))
-    cross = p.join(q, (F.col("sig") == F.col("_sig")) & (F.col("p") < F.col("q")) & (F.col("pr") != F.col("qr")) & (F.col("q.n") * percent <= F.col("p.n") * 100))
-    cross = cross.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    cross = written(cross, "cross")
-    more = written(_verify(cross, body, classes, percent), "more")
-
-    roots = components(links.unionByName(more)).select(F.col("node").alias("_node"), "root")
+    def near(a, b):
+        return b["n"] * percent <= a["n"] * 100
+
+    def close(a, b):
+        apart = sum((F.bit_count(a["sketch"][k].bitwiseXOR(b["sketch"][k])) for k in range(1, WORDS)), F.bit_count(a["sketch"][0].bitwiseXOR(b["sketch"][0])))
+        return apart * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)
+
+    detail = classes.select("key", F.struct("n", "sketch").alias("d"))
+    roots = linked(members, near, lambda pairs: _verify(pairs, body, classes, percent), detail, close).select(F.col("node").alias("_node"), "root")
     joined = rows.select("id", "n", "key").join(roots, F.col("key") == F.col("_node"), "left").select("id", "n", F.coalesce("root", "key").alias("root"))
     joined = written(joined, "joined")
     least = joined.filter("root is not null").groupBy("root").agg(F.min("id").alias("component")).withColumnRenamed("root", "_root")
