@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
+from . import decontaminate, line_dedup, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op2_quality": quality.op2_quality,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_sharding": sharding.op4_sharding,
     "op5_token_counts": token_counts.op5_token_counts,
     "op6_warc": warc.op6_warc,
