@@ -52,6 +52,15 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(key[out])], ["sig", "key"])
 
 
+def with_groups(index: DataFrame) -> DataFrame:
+    """(sig, key) rows with their sig's number of keys, ``g``, and a name of its set of keys, ``group``.
+
+    Sigs with the same keys ask for the same comparisons: they can go on as one group.
+    """
+    sets = index.groupBy("sig").agg(F.count("*").alias("g"), F.bit_xor(F.xxhash64("key")).alias("_x"))
+    return index.join(sets, "sig").withColumn("group", F.xxhash64("_x", "g")).drop("_x")
+
+
 def linked(members: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], detail: DataFrame | None = None, close: Callable[[Column, Column], Column] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) of the linked members.
 

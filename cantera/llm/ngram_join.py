@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .linking import linked, shared_sigs
+from .linking import linked, shared_sigs, with_groups
 from .shared import bounded, table, written
 from .shingles import mix, shingle_sets
 
@@ -195,11 +195,11 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # Probes: all subsets of a set but the most frequent ones, as far as its slack goes.
     bits = (1 << LEVEL_BITS) - 1
-    sizes = groups.groupBy("sig").agg(F.count("*").alias("g"))
     spare = classes.select("key", "n", F.explode(F.arrays_zip("levels", "spare")).alias("s")).select("key", "n", F.col("s.levels").alias("level"), F.col("s.spare").alias("spare"))
-    ranked = groups.join(sizes, "sig").withColumn("level", F.col("sig").bitwiseAND(F.lit(bits)).cast("int")).join(spare, ["key", "level"])
+    ranked = with_groups(groups).withColumn("level", F.col("sig").bitwiseAND(F.lit(bits)).cast("int")).join(spare, ["key", "level"])
     rank = F.row_number().over(Window.partitionBy("key", "level").orderBy(F.desc("g"), "sig"))
-    members = written(ranked.withColumn("probe", rank > F.col("spare")).select("sig", F.struct("n", "key").alias("m"), "probe"), "members")
+    probes = ranked.withColumn("probe", rank > F.col("spare")).groupBy(F.col("group").alias("sig"), "n", "key").agg(F.bool_or("probe").alias("probe"))
+    members = written(probes.select("sig", F.struct("n", "key").alias("m"), "probe"), "members")
 
     def near(a, b):
         return b["n"] * percent <= a["n"] * 100
