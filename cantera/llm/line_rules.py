@@ -12,6 +12,8 @@ by one; columns of the input are kept. Repeated windows are compared by 64-bit h
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,6 @@ MAX_REPEAT_PERCENT = 50
 MAX_LOST_PERCENT = 30
 
 # Fixed values of the rules.
-WHITE = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
 MARKS = "!\"#$%&()*+/:;<=>?@[\\]^_`{|}~"
 SEPARATORS = "|>»·•"
@@ -32,22 +33,38 @@ MAX_SPACES_PER_SEPARATOR = 6
 MIN_SHOUT = 10
 BOILERPLATE = r"(?i)(licensed under|all rights reserved|terms of (use|service)|privacy policy|accept (all )?cookies|enable javascript|subscribe to our|click here|sign up for)"
 
+HEADS = ("licensed under", "all rights reserved", "terms of ", "privacy policy", "accept ", "enable javascript", "subscribe to our", "click here", "sign up for")
+
 #: Distinct repeated windows up to which their places are found by look-up; beyond, by a sort.
 FEW = 16
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    return F.regexp_count(text, F.lit("[" + re.sub(r"([\[\]\\^&-])", r"\\\1", chars) + "]"))
+
+
+def _solid(text: Column) -> Column:
+    """Characters that aren't white space."""
+    return F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
+
+
+def _boilerplate(line: Column) -> Column:
+    """The phrases are looked for where the words that they start with are."""
+    some = F.lit(False)
+    for head in HEADS:
+        some = some | F.contains(F.lower(line), F.lit(head))
+    return some & line.rlike(BOILERPLATE)
 
 
 def line_failure(line: Column) -> Column:
-    """The first rule that a line fails, or null."""
-    solid = F.length(F.translate(line, WHITE, ""))
+    """The first rule that a line fails, or null; cheap conditions come first."""
+    marks, separators = _count(line, MARKS), _count(line, SEPARATORS)
+    white = F.length(line) - _solid(line)
     return (
-        F.when(_count(line, MARKS) * 100 > solid * MAX_MARKS_PERCENT, "punctuation")
-        .when((_count(line, SEPARATORS) >= MIN_SEPARATORS) & (_count(line, SEPARATORS) * MAX_SPACES_PER_SEPARATOR >= _count(line, WHITE)), "navigation")
-        .when(line.rlike(BOILERPLATE), "boilerplate")
-        .when((solid >= MIN_SHOUT) & line.rlike(r"\p{Lu}") & ~line.rlike(r"\p{Ll}"), "shouting")
+        F.when((marks > 0) & (marks * 100 > _solid(line) * MAX_MARKS_PERCENT), "punctuation")
+        .when((separators >= MIN_SEPARATORS) & (separators * MAX_SPACES_PER_SEPARATOR >= white), "navigation")
+        .when(_boilerplate(line), "boilerplate")
+        .when(~line.rlike(r"\p{Ll}") & line.rlike(r"\p{Lu}") & (_solid(line) >= MIN_SHOUT), "shouting")
     )
 
 
@@ -56,7 +73,8 @@ def _repeat_words(d: DataFrame) -> DataFrame:
     w = F.col("_words")
     windows = F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.xxhash64(F.element_at(w, i), F.element_at(w, i + 1), F.element_at(w, i + 2)))
     d = d.withColumn("_hash", F.when(F.size(w) > 3, windows).otherwise(F.array().cast("array<bigint>")))
-    d = d.withColumn("_sorted", F.sort_array("_hash"))
+    some = F.size(F.array_distinct("_hash")) < F.size("_hash")
+    d = d.withColumn("_sorted", F.when(some, F.sort_array("_hash")).otherwise(F.array().cast("array<bigint>")))
     s = F.col("_sorted")
     d = d.withColumn("_twice", F.array_distinct(F.filter(s, lambda x, i: (i > 0) & (x == F.get(s, i - 1)))))
     many = F.size("_twice") > FEW
@@ -77,8 +95,8 @@ def _judged(docs: DataFrame, text: str) -> DataFrame:
     d = _repeat_words(d)
     solid = F.filter("_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("_solid", solid).withColumn("_failed", F.filter("_lines", lambda x: line_failure(x).isNotNull()))
-    total = F.length(F.translate("_text", WHITE, ""))
-    lost = F.aggregate(F.col("_failed"), F.lit(0).cast("long"), lambda acc, x: acc + F.length(F.translate(x, WHITE, "")))
+    total = F.length(F.array_join("_words", ""))
+    lost = F.aggregate(F.col("_failed"), F.lit(0).cast("long"), lambda acc, x: acc + _solid(x))
     d = d.withColumn("_n", F.size("_words").cast("long")).withColumn("_chars", total.cast("long")).withColumn("_lost", lost)
     failed = (F.col("_n") < MIN_WORDS) | (F.col("_repeat") * 100 > F.col("_n") * MAX_REPEAT_PERCENT)
     return d.withColumn("_base", failed).withColumn("_kept", ~failed & (F.col("_lost") * 100 <= F.col("_chars") * MAX_LOST_PERCENT))
