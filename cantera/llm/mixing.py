@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import n_words, table, written
+from .shared import fresh, n_words, table, written
 
 #: Fixed weights, repeating in source order.
 WEIGHTS = (5, 2, 1)
@@ -164,13 +164,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     A document is kept once if at least half of its words are taken, and twice if at least
     one and a half times its words are; a document without words is kept once.
     """
-    key = ["doc_id", "size"]
-    takes = mix(docs).groupBy(*key).agg(F.max("taken").alias("_taken")).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_taken")
-    names = docs.columns
-    sized = docs.withColumn("_n", n_words(F.col("text")))
-    rows = sized.join(takes, sized["doc_id"].eqNullSafe(takes["_id"]) & (sized["_n"] == takes["_size"]))
-    times = F.when(F.col("_n") == 0, F.lit(1)).otherwise(F.floor(F.col("_taken") / F.col("_n") + 0.5).cast("int"))
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), times))).filter("_copy > 0").select(*[F.col(f"`{c}`") for c in names])
+    n, copy, other, size, most = fresh(docs, "_n", "_copy", "_id", "_size", "_taken")
+    takes = mix(docs).groupBy(F.col("doc_id").alias(other), F.col("size").alias(size)).agg(F.max("taken").alias(most))
+    sized = docs.withColumn(n, n_words(F.col("text")))
+    rows = sized.join(takes, F.col("doc_id").eqNullSafe(F.col(other)) & (F.col(n) == F.col(size)))
+    times = F.when(F.col(n) == 0, F.lit(1)).otherwise(F.floor(F.col(most) / F.col(n) + 0.5).cast("int"))
+    rows = rows.withColumn(copy, F.explode(F.sequence(F.lit(0), times))).filter(F.col(copy) > 0)
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

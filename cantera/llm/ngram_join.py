@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .linking import linked, shared_sigs, with_groups
-from .shared import bounded, table, written
+from .shared import bounded, fresh, table, written
 from .shingles import mix, shingle_sets
 
 PERCENT = 75
@@ -182,8 +182,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int)
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a bigint, b bigint")
 
 
-def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """(id, n, component) for every row of ``docs``."""
+def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame:
+    """(id, th, n, root, first): every row's group and its group's first (without id, id, th)."""
     body = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = body.schema["id"].dataType.simpleString()
     rows = body.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_describe(percent), f"id {kind}, th bigint, key bigint, n bigint, levels array<int>, spare array<int>, sketch array<bigint>")
@@ -210,22 +210,31 @@ def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     detail = classes.select("key", F.struct("n", "sketch").alias("d"))
     roots = linked(members, near, lambda pairs: _verify(pairs, body, classes, percent), detail, close).select(F.col("node").alias("_node"), "root")
-    joined = rows.select("id", "n", "key").join(roots, F.col("key") == F.col("_node"), "left").select("id", "n", F.coalesce("root", "key").alias("root"))
+    joined = rows.select("id", "th", "n", "key").join(roots, F.col("key") == F.col("_node"), "left").select("id", "th", "n", F.coalesce("root", "key").alias("root"))
     joined = written(joined, "joined")
-    least = joined.filter("root is not null").groupBy("root").agg(F.min("id").alias("component")).withColumnRenamed("root", "_root")
-    out = joined.join(least, F.col("root") == F.col("_root"), "left")
-    return out.select("id", "n", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    place = F.struct(F.col("id").isNull().alias("without"), "id", "th")
+    least = joined.filter("root is not null").groupBy("root").agg(F.min(place).alias("first")).withColumnRenamed("root", "_root")
+    return joined.join(least, F.col("root") == F.col("_root"), "left").drop("_root")
+
+
+def similar_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """(id, n, component) for every row of ``docs``."""
+    return _grouped(docs, doc_id, text, percent).select("id", "n", F.when(F.col("n") > 0, F.col("first.id")).otherwise(F.col("id")).alias("component"))
 
 
-def keep_one(docs: DataFrame, **kw) -> DataFrame:
-    """One document of each group of linked or equal ones: that with the smallest id.
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+    """One row of each group of linked or equal documents: that with the smallest id, then text hash.
 
-    Documents without words stay, each on its own; rows that share the kept id are told
-    apart by nothing, and one of them stays.
+    Documents without words stay. Only ids and hashes of what goes are joined to the texts.
     """
-    found = similar_groups(docs, **kw).filter("n > 0").select(F.col("id").alias("_id"), F.col("component").alias("_c"))
-    drop = found.filter("_id <> _c or _id is null and _c is not null").select("_id").distinct()
-    return docs.join(drop, docs["doc_id"].eqNullSafe(drop["_id"]), "left_anti")
+    found = _grouped(docs, doc_id, text, percent).filter("n > 0").withColumn("stays", F.struct(F.col("id").isNull().alias("without"), "id", "th") == F.col("first"))
+    th, mark, other, hashed = fresh(docs, "_th", "_mark", "_other", "_hashed")
+    marks = found.groupBy(F.col("id").alias(other), F.col("th").alias(hashed)).agg(F.bool_and("stays").alias(mark), F.count("*").alias("n"))
+    marks = bounded(written(marks.filter(~F.col(mark) | (F.col("n") > 1)).drop("n"), "marks"))
+    rows = docs.withColumn(th, F.xxhash64(F.col(f"`{text}`").cast("string")))
+    rows = rows.join(marks, F.col(f"`{doc_id}`").eqNullSafe(F.col(other)) & (F.col(th) == F.col(hashed)), "left")
+    once, twins = rows.filter(F.col(mark).isNull()), rows.filter(F.col(mark)).dropDuplicates([doc_id, th])
+    return once.unionByName(twins).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

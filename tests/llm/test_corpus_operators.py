@@ -83,10 +83,11 @@ def test_ngram_join_hot_group(spark):
 def test_keep_one(spark):
     rnd = random.Random(2)
     base = words(rnd, 60)
-    rows = [(5, " ".join(base), "k"), (3, " ".join(base[:58]), "k"), (9, "other text here", "k"), (1, None, "k"), (2, "", "k")]
-    docs = spark.createDataFrame(rows, "doc_id int, text string, _id string")
+    rows = [(5, " ".join(base), "k"), (3, " ".join(base[:58]), "k"), (3, " ".join(base[:58]), "k"), (9, "other text here", "k"), (1, None, "k"), (2, "", "k")]
+    rows += [(None, " ".join(base), "k"), (None, "a text without an id", "k"), (None, "a text without an id", "k")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, _th string")
     got = ngram_join.keep_one(docs)
-    assert sorted(r.doc_id for r in got.collect()) == [1, 2, 3, 9] and got.columns == docs.columns
+    assert sorted(map(str, (r.doc_id for r in got.collect()))) == ["1", "2", "3", "9", "None"] and got.columns == docs.columns
     assert ngram_join.keep_one(docs.limit(0)).count() == 0
 
 
