@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantera.functions.urls import host, same_or_subdomain
-from cantera.operators import lifecycle, quality
+from cantera.operators import classify, lifecycle, quality
 from cantera.sources import sinks
 
 from .registry import query
@@ -186,3 +186,30 @@ def array_sets(spark, t):
     kinds = lambda s, c: t("orders").filter(F.col("o_orderstatus") == s).groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias(c))
     both = kinds("F", "x").join(kinds("O", "y"), "o_custkey")
     return both.select("o_custkey", F.size(F.array_union("x", "y")).alias("n_union"), F.size(F.array_intersect("x", "y")).alias("n_both"), F.size(F.array_except("x", "y")).alias("n_only"), (F.col("x") == F.col("y")).alias("equal"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_type = 'PROMO' AND p_size < 10 THEN 'small promo' WHEN p_type = 'PROMO' THEN 'promo' WHEN contains(p_name, 'ring') THEN 'ring' ELSE 'other' END AS kind,
+       50 + 5 * (CASE WHEN trim(p_name) <> '' THEN 1 ELSE 0 END) + 5 * (CASE WHEN p_size > 25 THEN 1 ELSE 0 END) AS priority
+FROM part
+""")
+def ordered_classification(spark, t):
+    kind = classify.first_rule([("small promo", (F.col("p_type") == "PROMO") & (F.col("p_size") < 10)), ("promo", F.col("p_type") == "PROMO"), ("ring", F.contains("p_name", F.lit("ring")))], "other")
+    score = classify.priority(50, 5, [F.col("p_name"), F.when(F.col("p_size") > 25, "large")])
+    return t("part").select("p_partkey", kind.alias("kind"), score.alias("priority"))
+
+
+@query("""
+SELECT tile, count(s_suppkey) AS n FROM (
+  SELECT r * 4 + c AS tile, 38.5 + r * 0.025 AS s, -0.2 + c * 0.025 AS w, 38.5 + (r + 1) * 0.025 AS n, -0.2 + (c + 1) * 0.025 AS e FROM range(4) a(r), range(4) b(c)) t
+LEFT JOIN (SELECT s_suppkey, 38.5 + (s_suppkey * 37 % 100) / 1000.0 + 0.0005 AS lat, -0.2 + (s_suppkey * 53 % 100) / 1000.0 + 0.0005 AS lng FROM supplier) p
+ON lat >= s AND lat < n AND lng >= w AND lng < e GROUP BY 1
+""")
+def tile_counts(spark, t):
+    k = F.col("s_suppkey")
+    p = t("supplier").select((38.5 + (k * 37 % 100) / 1000.0 + 0.0005).alias("lat"), (-0.2 + (k * 53 % 100) / 1000.0 + 0.0005).alias("lng"))
+    grid = classify.tiles(spark, 38.5, -0.2, 38.6, -0.1, 4)
+    # A place's tile is computed, so that places and tiles meet in an equi-join.
+    row, col = F.floor((F.col("lat") - 38.5) / 0.025), F.floor((F.col("lng") + 0.2) / 0.025)
+    counts = p.filter(F.col("lat").between(38.5, 38.6) & F.col("lng").between(-0.2, -0.1)).groupBy((row * 4 + col).alias("tile")).agg(F.count("*").alias("n"))
+    return grid.select("tile").join(counts, "tile", "left").select("tile", F.coalesce("n", F.lit(0)).alias("n"))
