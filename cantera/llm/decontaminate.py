@@ -18,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from .shared import table, written
+from .shared import fresh, table, written
 
 WINDOW = 10
 #: Words of items that one automaton may hold, about 60 MB; more items are scanned in blocks.
@@ -234,11 +234,6 @@ def span_words(spans) -> Column:
     return F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-@F.arrow_udf(StringType())
-def cut_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    return pa.array([without_spans(t, s) if t is not None and s else t for t, s in zip(texts.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
-
-
 def without_spans(text: str, spans: list[int]) -> str:
     """The text less the words of ``spans`` and what stands between them."""
     ends = [m.span() for m in _WORD.finditer(text)]
@@ -249,30 +244,48 @@ def without_spans(text: str, spans: list[int]) -> str:
     return "".join([*keep, text[at:]])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str | None = "n_chars", max_coverage: float = MAX_COVERAGE, **kw) -> DataFrame:
+def _cleaner(held, text: int, before: int | None, n_chars: int | None, columns: int, max_coverage: float):
+    """Scan, decide and cut in one pass, so that a task has one Python worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(text)
+            keep, cut, fresh_texts = np.ones(len(texts), bool), np.zeros(len(texts), bool), []
+            for k, value in enumerate(texts):
+                value = value.as_py()
+                n, spans, _, _ = held.value.scan((value or "").encode())
+                old = batch.column(before)[k].as_py() if before is not None else None
+                if old:
+                    spans = merge_spans(old["spans"], spans)
+                if spans:
+                    keep[k] = sum(spans[1::2]) - sum(spans[::2]) <= n * max_coverage
+                    cut[k] = True
+                    fresh_texts.append(without_spans(value, spans) if keep[k] else "")
+            cols = [batch.column(k) for k in range(columns)]
+            if fresh_texts:
+                cols[text] = pc.replace_with_mask(texts, pa.array(cut), pa.array(fresh_texts, texts.type))
+                if n_chars is not None:
+                    cols[n_chars] = pc.replace_with_mask(cols[n_chars], pa.array(cut), pa.array(map(len, fresh_texts), cols[n_chars].type))
+            yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:columns]).filter(pa.array(keep))
+
+    return run
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars: str | None = "n_chars", max_coverage: float = MAX_COVERAGE, item_id: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Documents without benchmark passages, in their own columns.
 
     Hit spans are cut out of a text; a document with more than ``max_coverage`` of its
     words in hits is dropped. Documents without hits are returned as they are.
     """
-    out = "_leak"
-    while out in docs.columns:
-        out += "_"
-    found = find_leaks(docs, items, text=text, out=out, **kw)
-
-    hits = span_words(F.col(f"`{out}`.spans"))
-    leaked = F.size(f"`{out}`.spans") > 0
-    kept = found.filter(~(hits > F.col(f"`{out}`.n_words") * max_coverage))
-    clean = cut_spans(F.col(f"`{text}`"), F.col(f"`{out}`.spans"))
-    cols = []
-    for c in docs.columns:
-        if c == text:
-            cols.append(F.when(leaked, clean).otherwise(F.col(f"`{c}`")).alias(c))
-        elif c == n_chars:
-            cols.append(F.when(leaked, F.length(clean).cast(docs.schema[c].dataType)).otherwise(F.col(f"`{c}`")).alias(c))
-        else:
-            cols.append(F.col(f"`{c}`"))
-    return kept.select(*cols)
+    (out,) = fresh(docs, "_leak")
+    names = docs.columns
+    held = [docs.sparkSession.sparkContext.broadcast(a) for a in _blocks(items, item_id, item_text, window)]
+    done = docs
+    for k, automaton in enumerate(held[:-1]):
+        before = F.lit(None).cast(LEAK) if k == 0 else F.col(f"`{out}`")
+        done = written(done.withColumn(out, F.arrow_udf(_scanner(automaton), LEAK)(F.col(f"`{text}`"), before)), "leaks")
+    at = names.index(n_chars) if n_chars in names else None
+    return done.mapInArrow(_cleaner(held[-1], names.index(text), len(names) if len(held) > 1 else None, at, len(names), max_coverage), docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

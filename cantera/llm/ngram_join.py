@@ -165,6 +165,7 @@ def _linked(percent: int):
                 p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
                 both = len(p) + len(q) - len(np.union1d(p, q))
                 keep.append(100 * both >= percent * (len(p) + len(q) - both))
+            pa.default_memory_pool().release_unused()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -14,7 +14,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes of text hashed at a time; one longer text is hashed alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _FOLD = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 _SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)], bool)
@@ -54,8 +54,11 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
 
 def _chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of rows of about CHUNK_BYTES."""
-    values = texts.cast(pa.large_string()).fill_null("")
-    offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
+    if not len(texts):
+        return
+    values = texts.fill_null("") if texts.null_count else texts
+    width = np.int64 if pa.types.is_large_string(values.type) else np.int32
+    offsets = np.frombuffer(values.buffers()[1], width)[values.offset : values.offset + len(values) + 1].astype(np.int64)
     data = np.frombuffer(values.buffers()[2] or b"", np.uint8)
     i = 0
     while i < len(values):
