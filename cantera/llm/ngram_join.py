@@ -43,7 +43,7 @@ RATIO = 2
 SPARE = 1.2
 
 #: Longs of a set's parity sketch.
-WORDS = 4
+WORDS = 32
 #: Bits of a signature that hold its level.
 LEVEL_BITS = 6
 
