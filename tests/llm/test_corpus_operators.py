@@ -187,6 +187,72 @@ def test_line_dedup_matches_brute_force(spark):
         assert out[i] == want
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def alike(a, b):
+    return edit_distance(a, b) <= max(len(a), len(b)) * 20 // 100
+
+
+def test_short_lines_that_link_share_a_key():
+    rnd = random.Random(2)
+    for _ in range(4000):
+        x = "".join(rnd.choice("ab cdé") for _ in range(rnd.randint(4, line_dedup.SHORT)))
+        y = list(x)
+        for _ in range(rnd.randint(1, 4)):
+            k = rnd.randrange(len(y))
+            y[k : k + rnd.randint(0, 1)] = rnd.choice(["", "a", "b"])
+            y = y or ["a"]
+        y = "".join(y)
+        if x != y and len(y) <= line_dedup.SHORT and alike(x, y):
+            assert line_dedup.short_keys(x) & line_dedup.short_keys(y), (x, y)
+            assert line_dedup.may_link(x, y), (x, y)
+
+
+def test_line_dedup_links_by_edit_similarity_alone(spark):
+    """No bound on bits and no least number of words: a changed word in a short line, one-word lines, lines without spaces."""
+    rnd = random.Random(12)
+    base = [" ".join(words(rnd, n)) for n in (1, 2, 2, 4, 5, 8, 10, 12, 15, 20, 20, 30)] + ["ok", "価格は予告なく変更されることがあります", "お問い合わせはこちら"]
+    pool = list(base)
+    for line in base:
+        w = line.split(" ")
+        for k in rnd.sample(range(len(w)), min(3, len(w))):
+            pool.append(" ".join([*w[:k], *w[k + 1 :]]))
+            pool.append(" ".join([*w[:k], rnd.choice(words(rnd, 1)), *w[k + 1 :]]))
+            pool.append(" ".join([*w[:k], w[k][1:] + "x", *w[k + 1 :]]))
+    pool += ["価格は予告なく変更される場合があります", "お問合わせはこちら", "---", ""]
+    rows = [(k, "\n".join(rnd.sample(pool, 8))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    norm = {(i, k): line_dedup.normalise(x.encode()).decode() for i, t in rows for k, x in enumerate(t.split("\n"))}
+    norm = {at: x for at, x in norm.items() if x}
+    parent = {x: x for x in norm.values()}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x in parent:
+        for y in parent:
+            if x < y and alike(x, y):
+                parent[root(x)] = root(y)
+    first = {}
+    for at in sorted(norm):
+        first.setdefault(root(norm[at]), at)
+    got = line_dedup.line_groups(docs, min_words=1, max_bits=None).collect()
+    assert {(r.id, r.place) for r in got} == set(norm)
+    assert {(r.id, r.place) for r in got if r.keep} == set(first.values())
+    out = {r.doc_id: r.text for r in line_dedup.dedup_lines(docs, min_words=1, max_bits=None).collect()}
+    for i, t in rows:
+        assert out[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in norm or (i, k) in first.values())
+
+
 def test_line_dedup_empty(spark):
     docs = spark.createDataFrame([], "doc_id int, text string, key string")
     assert line_dedup.dedup_lines(docs).columns == docs.columns and line_dedup.dedup_lines(docs).count() == 0
