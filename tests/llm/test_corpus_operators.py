@@ -253,6 +253,15 @@ def test_line_dedup_links_by_edit_similarity_alone(spark):
         assert out[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in norm or (i, k) in first.values())
 
 
+@needs_data
+def test_line_dedup_query_drops_short_repeats(spark):
+    """Every repeat of a line with text goes, of one and two words too."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = {r.doc_id: {int(k) for k in r.dropped.split(",") if k} for r in registry.QUERIES["op3_line_dedup"](spark, SF).collect()}
+    kept = Counter(x for i, t in rows.items() for k, line in enumerate((t or "").encode().split(b"\n")) if k not in got[i] and (x := line_dedup.normalise(line)))
+    assert max(kept.values()) == 1
+
+
 def test_line_dedup_empty(spark):
     docs = spark.createDataFrame([], "doc_id int, text string, key string")
     assert line_dedup.dedup_lines(docs).columns == docs.columns and line_dedup.dedup_lines(docs).count() == 0
