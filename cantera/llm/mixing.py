@@ -1,16 +1,16 @@
-"""Mixing sources to target weights with a low-discrepancy schedule.
+"""Mixing sources to target weights.
 
 Sources in code-point order (null last) weigh 5, 2, 1, repeating, and share a budget of
 words by weight; a source's target stops at ``MAX_EPOCHS`` times its size and the excess is
-shared again. The schedule has equal slots of ``block`` words: slot j falls at the
-golden-ratio point frac(j * phi), which is mapped through the cumulative targets to a
-source. The k-th slot of a source takes the k-th block of its shuffled word stream, and
-starts over when the stream ends.
+shared again. A source's word stream is its documents in hashed order, starting over when
+it ends. Whatever order the sources are drawn in, each draws its stream from the start, so
+what it has given in the end is set by its target alone, rounded to whole words: a number
+of whole passes over the stream and the head of one more. So every source, however small,
+meets its target to within half a word.
 
 Plan: one pass gives the sizes per (source, shuffle bucket); running sums over these few
 rows place every bucket in its source's stream, and rows are accumulated within a bucket,
-so that no task holds a whole source. Documents are cut at block edges and joined to the
-slot counts on (source, block).
+so that no task holds a whole source.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of
 its own, after all others; an empty table gives an empty result; sources without words get
@@ -29,14 +29,6 @@ from .shared import fresh, n_words, table, written
 WEIGHTS = (5, 2, 1)
 BUDGET_PERCENT = 150
 MAX_EPOCHS = 2
-#: Slots a source gets on average, if blocks of at least one word allow it.
-SLOTS_PER_SOURCE = 2048
-MAX_BLOCK = 1_000_000
-#: floor(2**32 / golden ratio): j * PHI mod 2**32 is the golden-ratio sequence.
-PHI = 2654435769
-TURN = 1 << 32
-#: Cells of the unit interval on which slots and sources are joined.
-CELLS = 1024
 #: Rows of one shuffle bucket, about.
 BUCKET_ROWS = 4096
 
@@ -60,8 +52,8 @@ def _ranked(sources: DataFrame) -> DataFrame:
     return dealt.withColumn("rank", F.row_number().over(inner) - 1 + base).drop("_range")
 
 
-def _targets(ranked: DataFrame) -> tuple[DataFrame, int, int]:
-    """Sources with their targets, the number of sources, and the sum of targets."""
+def _targets(ranked: DataFrame) -> DataFrame:
+    """Sources with their targets."""
     weight: Column = F.lit(WEIGHTS[-1])
     for k, w in enumerate(WEIGHTS[:-1]):
         weight = F.when(F.col("rank") % len(WEIGHTS) == k, F.lit(w)).otherwise(weight)
@@ -81,12 +73,11 @@ def _targets(ranked: DataFrame) -> tuple[DataFrame, int, int]:
             break
         level = raised
     target = F.least(F.col("cap").cast("double"), F.lit(float(level)) * F.col("weight"))
-    return rows.withColumn("target", target), n, int(budget)
+    return rows.withColumn("target", target)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0) -> DataFrame:
     """doc_id, size, source_size, target and taken for every document."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{source}`").cast("string").alias("source"), n_words(F.col(f"`{text}`")).alias("size"))
     # The order of the stream: a hash of the id.
     rows = rows.withColumn("shuffled", F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
@@ -97,11 +88,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     parts = rows.groupBy("source", "bucket").agg(F.sum("size").alias("part"))
     parts = written(parts, "parts")
     sources = parts.groupBy("source").agg(F.sum("part").alias("source_size"))
-    targets, n, budget = _targets(_ranked(sources))
-    block = max(1, min(MAX_BLOCK, budget // max(1, n * SLOTS_PER_SOURCE)))
-    targets = written(targets.withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long")), "targets")
-
-    counts = _schedule(spark, targets, n, budget, block)
+    targets = written(_targets(_ranked(sources)), "targets")
 
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     placed = parts.withColumn("base", F.coalesce(F.sum("part").over(before), F.lit(0)))
@@ -112,50 +99,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     rows = rows.join(placed, rows["source"].eqNullSafe(placed["_s"]) & (rows["bucket"] == placed["_b"])).drop("_s", "_b", "bucket")
     rows = rows.withColumn("start", F.col("base") + F.col("_in")).withColumn("stop", F.col("base") + F.col("_in") + F.col("size")).drop("base", "_in")
 
-    # A document's pieces, one for each block that it touches; documents without words have none.
-    first, last = F.floor(F.col("start") / block), F.floor((F.col("stop") - 1) / block)
-    pieces = rows.filter("size > 0").withColumn("row", F.struct("doc_id", "shuffled", "start")).withColumn("block", F.explode(F.sequence(first, last)))
-    length = F.least(F.col("stop"), (F.col("block") + 1) * block) - F.greatest(F.col("start"), F.col("block") * block)
-    c = counts.select(F.col("source").alias("_s"), F.col("block").alias("_k"), "times")
-    pieces = pieces.withColumn("length", length).join(c, pieces["source"].eqNullSafe(c["_s"]) & (pieces["block"] == c["_k"]), "left")
-    taken = pieces.groupBy("doc_id", "source", "size", "source_size", "target", "start").agg(F.sum(F.col("length") * F.coalesce("times", F.lit(0))).alias("taken"))
-    none = rows.filter("size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = ["doc_id", "size", "source_size", "target", "taken"]
-    return taken.select(*out).unionByName(none.select(*out))
-
-
-def _schedule(spark: SparkSession, targets: DataFrame, n: int, budget: int, block: int) -> DataFrame:
-    """Times that the slots take each block: (source, block, times)."""
-    slots = -(-budget // block)
-    # Share of each source in the unit interval, by its rank; sums over the sources only.
-    parts = max(1, n // BUCKET_ROWS)
-    t = targets.withColumn("part", F.floor(F.col("rank") / BUCKET_ROWS).cast("int"))
-    sums = t.groupBy("part").agg(F.sum("target").alias("s"))
-    earlier = {r["part"]: r["s"] for r in sums.collect()} if parts > 1 else {}
-    base, at = F.lit(0.0), 0.0
-    for k in sorted(earlier):
-        base = F.when(F.col("part") == k, F.lit(at)).otherwise(base)
-        at += earlier[k]
-    upto = F.sum("target").over(Window.partitionBy("part").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)) + base
-    scale = F.lit(TURN / max(1.0, float(budget)))
-    t = t.withColumn("hi", F.when(F.col("rank") == n - 1, F.lit(TURN)).otherwise(F.least(F.lit(TURN), F.floor(upto * scale).cast("long"))))
-    t = t.withColumn("lo", F.when(F.col("rank") == 0, F.lit(0)).otherwise(F.least(F.lit(TURN), F.floor((upto - F.col("target")) * scale).cast("long"))))
-    t = t.filter("hi > lo and source_size > 0")
-    width = TURN // CELLS
-    cells = t.select("source", "blocks", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor((F.col("hi") - 1) / width))).alias("cell"))
-    points = spark.range(slots).select(F.col("id").alias("slot"), F.pmod(F.col("id") * PHI, F.lit(TURN)).alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") / width))
-    placed = points.join(cells, "cell").filter("point >= lo and point < hi").select("source", "blocks", "slot")
-    # Rank of each slot within its source: slots are counted by runs of slots first.
-    placed = placed.withColumn("run", F.floor(F.col("slot") / (16 * BUCKET_ROWS)))
-    runs = placed.groupBy("source", "run").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("source").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(F.col("source").alias("_s"), F.col("run").alias("_r"), F.coalesce(F.sum("c").over(w), F.lit(0)).alias("earlier"))
-    ranked = placed.withColumn("k", F.row_number().over(Window.partitionBy("source", "run").orderBy("slot")) - 1)
-    ranked = ranked.join(runs, ranked["source"].eqNullSafe(runs["_s"]) & (ranked["run"] == runs["_r"])).withColumn("k", F.col("k") + F.col("earlier"))
-    # Beyond the last epoch a source has no words left to give.
-    ranked = ranked.filter(F.col("k") < F.col("blocks") * MAX_EPOCHS)
-    return ranked.groupBy("source", F.pmod(F.col("k"), F.col("blocks")).alias("block")).agg(F.count("*").alias("times"))
+    # The words of a document that every pass takes, and those in the head that the last one takes.
+    drawn, all_ = F.round("target").cast("long"), F.greatest("source_size", F.lit(1))
+    head = F.greatest(F.lit(0), F.least("stop", drawn % all_) - F.col("start"))
+    taken = F.floor(drawn / all_).cast("long") * F.col("size") + head
+    return rows.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:

@@ -346,6 +346,21 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_meets_every_target(spark):
+    """Small sources and the null one too, beside one that makes the blocks of a shared schedule large."""
+    sizes = {"a": [1000] * 400, "b": [20], "c": [7, 13], "d": [50, 0, 100], "e": [1], "f": [250] * 4, None: [3, 5]}
+    rows = [(f"{s}-{k}", " ".join(["w"] * n), s) for s, ns in sizes.items() for k, n in enumerate(ns)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id string, text string, source string")).collect()
+    taken, target = Counter(), {}
+    for r in got:
+        s = r.doc_id.split("-")[0]
+        taken[s] += r.taken
+        target[s] = r.target
+        assert 0 <= r.taken <= 2 * r.size
+    assert len(target) == len(sizes) and len(got) == len(rows)
+    assert all(abs(taken[s] - target[s]) <= 0.5 for s in target), (taken, target)
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, name):
