@@ -361,6 +361,28 @@ def test_mixing_meets_every_target(spark):
     assert all(abs(taken[s] - target[s]) <= 0.5 for s in target), (taken, target)
 
 
+def test_schedule_follows_the_weights(spark):
+    """Any prefix of the slots gives each source its share; the slots of a source take its blocks in turn, equal to a word."""
+    rows = [(k, " ".join(["w"] * (1 + k % 7)), "abc"[k % 3], -k) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, slot int")
+    drawn = mixing.schedule(docs).collect()
+    target = {r["source"]: r["target"] for r in mixing.pieces(docs)[0].select("source", "target").distinct().collect()}
+    total, by_slot, of = sum(target.values()), Counter(), {}
+    for r in drawn:
+        by_slot[r.slot] += r.words
+        of[r.slot] = r.source
+    for s in target:
+        sizes = {n for k, n in by_slot.items() if of[k] == s}
+        assert max(sizes) - min(sizes) <= 1
+    for part in (0.1, 0.25, 0.5, 0.9):
+        head = [k for k in sorted(by_slot)][: int(part * len(by_slot))]
+        given = Counter()
+        for k in head:
+            given[of[k]] += by_slot[k]
+        for s in target:
+            assert abs(given[s] / sum(given.values()) - target[s] / total) < 0.01
+
+
 @needs_data
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_matches_sql(spark, name):
