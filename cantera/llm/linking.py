@@ -1,17 +1,19 @@
 """Components of an index's groups without all pairs.
 
-An index gives (sig, m, probe): member ``m``, a struct that starts with a size and a key,
-is filed under ``sig``; two members may link if they share a sig under which the smaller
-one probes. In each of a few rounds, a group is a star around a member that a hash of the
-round picks, the same one in most groups that share members; verified stars give
-components, and groups within one component are done. At last, probes to members of
-*other* components are joined, verified and added. No link is lost: two members that meet
-under a sig are either compared or already connected.
+An index files members under signatures; two members may link if they share a signature
+under which the smaller one probes. A group is first a star around the member that meets
+most others in all its groups: near copies of one original meet there. Verified stars give
+components, and groups within one component are done. Then members of *different*
+components are compared by their sketches, in cells of bounded size, and the pairs that are
+left are verified and added. No link is lost: two members that meet under a signature are either compared or already
+connected.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import chain
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -19,9 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import written
-
-ROUNDS = 3
+from .shared import discard, written
 
 
 def shared_sigs(index: DataFrame) -> DataFrame:
@@ -52,50 +52,146 @@ def _shared(batches):
             yield pa.RecordBatch.from_arrays([pa.array(sig[out]), pa.array(key[out])], ["sig", "key"])
 
 
-def with_groups(index: DataFrame) -> DataFrame:
+def with_groups(index: DataFrame, *also: Column) -> DataFrame:
     """(sig, key) rows with their sig's number of keys, ``g``, and a name of its set of keys, ``group``.
 
-    Sigs with the same keys ask for the same comparisons: they can go on as one group.
+    Sigs with the same keys, and the same values of ``also``, ask for the same comparisons:
+    they can go on as one group.
     """
     sets = index.groupBy("sig").agg(F.count("*").alias("g"), F.bit_xor(F.xxhash64("key")).alias("_x"))
-    return index.join(sets, "sig").withColumn("group", F.xxhash64("_x", "g")).drop("_x")
-
-
-def linked(members: DataFrame, near: Callable[[Column, Column], Column], verify: Callable[[DataFrame], DataFrame], detail: DataFrame | None = None, close: Callable[[Column, Column], Column] | None = None, rounds: int = ROUNDS) -> DataFrame:
+    return index.join(sets, "sig").withColumn("group", F.xxhash64("_x", "g", *also)).drop("_x")
+
+
+#: Members of a cell in which pairs are compared; larger groups are cut into blocks, and each two blocks meet in a cell.
+BLOCK = 2048
+#: Pairs whose sketches are compared at a time.
+PART = 1 << 14
+#: Pairs that a task holds before it passes on the distinct ones.
+HELD = 1 << 16
+
+Near = Callable[[Any, Any, Any, Any], Any]
+Close = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    """A row of longs for each binary of equal length."""
+    column = column.cast(pa.large_binary())
+    n = len(column)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint64) if n else np.zeros(0, np.uint64)
+    width = len(column[0].as_py()) // 8 if n else 1
+    first = column.offset * width
+    return data[first : first + n * width].reshape(n, width)
+
+
+def _near_stars(close: Close):
+    """Of pairs with sizes and sketches, those that are close."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (4, 5))
+                keep = close(na, nb, _sketches(batch.column(6)), _sketches(batch.column(7)))
+                yield pa.RecordBatch.from_arrays(batch.columns[:4], ["a", "b", "ta", "tb"]).filter(pa.array(keep))
+
+    return run
+
+
+def _pairs(near: Near, close: Close | None):
+    """Distinct pairs of members of a cell that may link; rows come sorted by cell."""
+
+    def compared(t: dict[str, np.ndarray], i: int, j: int) -> np.ndarray:
+        """Places of the pairs among the rows i to j that are one cell."""
+        x, y = np.triu_indices(j - i, 1)
+        x, y = x + i, y + i
+        if t["x"][i] != t["y"][i]:  # two blocks: pairs across them only
+            across = t["block"][x] != t["block"][y]
+            x, y = x[across], y[across]
+        apart = t["root"][x] != t["root"][y]
+        x, y = x[apart], y[apart]
+        swap = (t["n"][x] > t["n"][y]) | ((t["n"][x] == t["n"][y]) & (t["key"][x] > t["key"][y]))
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        keep = t["probe"][x] & near(t["n"][x], t["n"][y], t["lo"][x], t["hi"][x])
+        x, y = x[keep], y[keep]
+        if close is not None:
+            parts = [(x[k : k + PART], y[k : k + PART]) for k in range(0, len(x), PART)]
+            keep = [close(t["size"][a], t["size"][b], t["sketch"][a], t["sketch"][b]) for a, b in parts]
+            x, y = (np.concatenate([p[side][ok] for p, ok in zip(parts, keep, strict=True)]) if parts else x for side in (0, 1))
+        return np.stack((t["key"][x], t["key"][y], t["th"][x], t["th"][y]), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        found, held = [], 0
+        for batch in chain(batches, [None]):
+            table = rest if batch is None else pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            if table is None or not table.num_rows:
+                continue
+            t = {c: table.column(c).to_numpy() for c in table.column_names if c not in ("sketch", "probe")}
+            t["probe"] = table.column("probe").combine_chunks().to_numpy(zero_copy_only=False)
+            if close is not None:
+                t["sketch"] = _sketches(table.column("sketch").combine_chunks())
+            new = (t["sig"][1:] != t["sig"][:-1]) | (t["x"][1:] != t["x"][:-1]) | (t["y"][1:] != t["y"][:-1])
+            edges = np.concatenate(([0], np.flatnonzero(new) + 1, [table.num_rows]))
+            last = len(edges) - 1 if batch is None else len(edges) - 2
+            for i, j in zip(edges[:last].tolist(), edges[1 : last + 1].tolist(), strict=True):
+                found.append(compared(t, i, j))
+                held += len(found[-1])
+                if held >= HELD:
+                    yield _distinct(found)
+                    found, held = [], 0
+            rest = None if batch is None else table.slice(int(edges[last])).combine_chunks()
+        if held:
+            yield _distinct(found)
+
+    return run
+
+
+def _distinct(found: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.unique(np.concatenate(found), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["a", "b", "ta", "tb"])
+
+
+PAIRS = "a bigint, b bigint, ta bigint, tb bigint"
+
+
+def linked(members: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame | None = None, close: Close | None = None) -> DataFrame:
     """(node, root) of the linked members.
 
-    ``near`` is a cheap necessary condition on a smaller and a larger member, ``close`` one
-    on their rows of ``detail`` (key, d); ``verify`` takes distinct key pairs (a, b) and
-    returns those that link.
+    ``members`` has sig, g (the members of sig), key, n (a size), th, probe, lo and hi, and is
+    discarded. ``near`` is a necessary condition on a smaller and a larger size, lo and hi, of
+    columns and of arrays; ``close`` one on the sizes and sketches of pairs, ``sketch`` having
+    key, size and sketch (binary, of one length); ``verify`` takes distinct pairs (a, b, ta, tb)
+    of keys and their ths and returns those that link.
     """
-    known = members.withColumn("root", F.col("m.key"))
-    links = tested = roots = None
-    for k in range(rounds):
-        row = F.struct(F.xxhash64(F.lit(k), "m.key").alias("order"), "m", "probe", "root")
-        heads = known.groupBy("sig").agg(F.min(row).alias("head"))
-        both = known.join(heads, "sig").filter(F.col("root") != F.col("head.root"))
-        lower = F.col("m") < F.col("head.m")
-        both = both.select(F.when(lower, F.col("m")).otherwise(F.col("head.m")).alias("p"), F.when(lower, F.col("head.m")).otherwise(F.col("m")).alias("q"), F.when(lower, F.col("probe")).otherwise(F.col("head.probe")).alias("probe"))
-        stars = both.filter("probe").filter(near(F.col("p"), F.col("q"))).select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct()
-        if detail is not None:
-            stars = stars.join(detail.select(F.col("key").alias("a"), F.col("d").alias("da")), "a").join(detail.select(F.col("key").alias("b"), F.col("d").alias("db")), "b").filter(close(F.col("da"), F.col("db"))).select("a", "b")
-        stars = written(stars if tested is None else stars.join(tested, ["a", "b"], "left_anti"), "stars")
-        tested = stars if tested is None else tested.unionByName(stars)
-        found = written(verify(stars), "links")
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        r = roots.withColumnRenamed("node", "_node")
-        known = written(known.join(r, F.col("m.key") == F.col("_node"), "left").select("sig", "m", "probe", F.coalesce(r["root"], F.col("m.key")).alias("root")), "known")
-        mixed = known.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.bool_or("probe").alias("any")).filter("lo <> hi and any").select("sig")
-        known = written(known.join(mixed, "sig", "left_semi"), "mixed")
-
-    if detail is not None:
-        known = known.join(detail.withColumnRenamed("key", "_key"), F.col("m.key") == F.col("_key"))
-    d = ["d"] if detail is not None else []
-    p = known.filter("probe").select("sig", F.col("m").alias("p"), F.col("root").alias("pr"), *[F.col(c).alias("pd") for c in d])
-    q = known.select(F.col("sig").alias("_sig"), F.col("m").alias("q"), F.col("root").alias("qr"), *[F.col(c).alias("qd") for c in d])
-    meet = (F.col("sig") == F.col("_sig")) & (F.col("p") < F.col("q")) & (F.col("pr") != F.col("qr")) & near(F.col("p"), F.col("q"))
-    cross = p.join(q, meet & close(F.col("pd"), F.col("qd")) if d else meet)
-    cross = cross.select(F.col("p.key").alias("a"), F.col("q.key").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    more = written(verify(written(cross, "cross")), "more")
-    return components(links.unionByName(more))
+    score = members.groupBy(F.col("key").alias("_key")).agg(F.sum("g").alias("score"))
+    known = written(members.join(score, F.col("key") == F.col("_key")).drop("_key"), "known")
+    discard(members)
+    heads = known.groupBy(F.col("sig").alias("_sig")).agg(F.max(F.struct("score", "key", "n", "th", "probe")).alias("h"))
+    both = known.join(heads, F.col("sig") == F.col("_sig")).filter(F.col("key") != F.col("h.key"))
+    lower = (F.col("n") < F.col("h.n")) | ((F.col("n") == F.col("h.n")) & (F.col("key") < F.col("h.key")))
+    both = both.filter(F.when(lower, F.col("probe")).otherwise(F.col("h.probe")) & near(F.least("n", "h.n"), F.greatest("n", "h.n"), F.col("lo"), F.col("hi")))
+    one, two = F.struct("key", "th"), F.struct("h.key", "h.th")
+    stars = both.select(F.when(lower, one).otherwise(two).alias("p"), F.when(lower, two).otherwise(one).alias("q")).distinct()
+    stars = stars.select(F.col("p.key").alias("a"), F.col("q.key").alias("b"), F.col("p.th").alias("ta"), F.col("q.th").alias("tb"))
+    if sketch is not None:
+        for x in "ab":
+            stars = stars.join(sketch.select(F.col("key").alias("_key"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), F.col(x) == F.col("_key")).drop("_key")
+        stars = stars.select("a", "b", "ta", "tb", "na", "nb", "sa", "sb").mapInArrow(_near_stars(close), PAIRS)
+    links = written(verify(written(stars, "stars")), "links")
+
+    stars = components(links)
+    roots = stars.withColumnRenamed("node", "_node")
+    rooted = known.join(roots, F.col("key") == F.col("_node"), "left").drop("_node", "score").withColumn("root", F.coalesce("root", "key"))
+    rooted = written(rooted, "rooted")
+    discard(known)
+    mixed = rooted.groupBy(F.col("sig").alias("_sig")).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bool_or("probe").alias("any")).filter("a <> b and any").select("_sig")
+    open_ = rooted.join(mixed, F.col("sig") == F.col("_sig"), "left_semi")
+    blocks = F.ceil(F.col("g") / BLOCK).cast("int")
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "g")
+    if sketch is not None:
+        open_ = open_.join(sketch.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).drop("_key")
+    cross = open_.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_pairs(near, close), PAIRS)
+    cross = written(cross.distinct(), "cross")
+    discard(rooted)
+    more = written(verify(cross), "more")
+    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))

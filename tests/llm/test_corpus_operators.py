@@ -8,6 +8,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,7 +93,7 @@ def test_keep_one(spark):
 
 
 def test_pigeonhole_bounds():
-    most, segments = ngram_join.levels(75)
+    most, segments = ngram_join.levels()
     for n in range(1, 400):
         js, upper = ngram_join.bands(n, 75, most)
         for m in range(math.ceil(0.75 * n), n * 4 // 3 + 1):
@@ -103,6 +104,50 @@ def test_pigeonhole_bounds():
                 assert j in ngram_join.bands(m, 75, most)[0]
 
 
+def test_neighbourhoods_meet():
+    """Sets with few enough differences share a signature of a level that indexes neighbourhoods."""
+    rnd = random.Random(3)
+    most, _ = ngram_join.levels()
+    for _ in range(2000):
+        j = rnd.randint(1, 6)
+        common = {rnd.getrandbits(64) for _ in range(rnd.randint(1, 30))}
+        extra = [rnd.getrandbits(64) for _ in range(rnd.randint(0, int(most[j])))]
+        cut = rnd.randint(0, len(extra))
+        a, b = (np.array(sorted(common | set(x)), np.uint64) for x in (extra[:cut], extra[cut:]))
+        m = ngram_join.segments_near(int(most[j]))
+        assert set(ngram_join.neighbourhood(a, j, m).tolist()) & set(ngram_join.neighbourhood(b, j, m).tolist())
+
+
+def test_allocation_picks_either_way():
+    most, segments = ngram_join.levels()
+    # Level 1 has many sets with empty subsets either way but more of them plain, level 2 none, level 3 few sets.
+    sums = {1: [40_000, 30_000, 70_000, 50], 2: [50_000, 0, 90_000, 0], 3: [40, 3, 60, 0]}
+    assert ngram_join.allocation(sums, most, segments) == {1}
+    rnd = random.Random(4)
+    for j in range(1, 8):
+        need = int(most[j]) + 1
+        for n in (1, 3, 9, 30):
+            s = np.array(sorted({rnd.getrandbits(64) for _ in range(n)}), np.uint64)
+            plain, empty, deep, deep_empty = ngram_join.costs(s, int(most[j]), int(segments[j]), need)
+            assert plain == len(ngram_join.signatures(s, j, int(segments[j]), need)) and 0 <= empty <= plain
+            assert deep >= len(ngram_join.neighbourhood(s, j, ngram_join.segments_near(int(most[j])))) and 0 <= deep_empty <= deep
+
+
+def test_ngram_join_with_neighbourhoods(spark, monkeypatch):
+    """The same groups when pairs are so dear that short levels index neighbourhoods, and when cells are split into blocks."""
+    rnd = random.Random(6)
+    base = [words(rnd, n) for n in (3, 5, 6, 7, 9, 12, 20, 40)]
+    rows = [" ".join(w) for w in base] + [" ".join(edited(rnd, w, share)) for w in base for share in (0.03, 0.06, 0.1) for _ in range(3)] + [" ".join(words(rnd, rnd.randint(5, 9))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string")
+    chosen = []
+    real = ngram_join.allocation
+    monkeypatch.setattr(ngram_join, "PAIR_COST", 1000.0)
+    monkeypatch.setattr(ngram_join, "allocation", lambda *a: chosen.append(real(*a)) or chosen[-1])
+    monkeypatch.setattr(linking, "BLOCK", 3)
+    assert Counter(map(tuple, ngram_join.similar_groups(docs).collect())) == Counter(groups(list(enumerate(rows))))
+    assert chosen[0]
+
+
 def test_shared_sigs(spark):
     rnd = random.Random(0)
     rows = [(rnd.randint(0, 40), rnd.randint(0, 5)) for _ in range(200)]
@@ -200,6 +245,20 @@ def alike(a, b):
     return edit_distance(a, b) <= max(len(a), len(b)) * 20 // 100
 
 
+def test_edit_distance_within_a_bound():
+    rnd = random.Random(7)
+    for _ in range(3000):
+        x = "".join(rnd.choice("abé ") for _ in range(rnd.randint(0, 40)))
+        y = list(x)
+        for _ in range(rnd.randint(0, 8)):
+            k = rnd.randint(0, len(y))
+            y[k : k + rnd.randint(0, 2)] = rnd.choice(["", "a", "zz"])
+        y = "".join(y)
+        d = edit_distance(x, y)
+        for most in (0, d - 1, d, d + 1, 5):
+            assert line_dedup.within(x, y, most) == (d <= most), (x, y, most)
+
+
 def test_short_lines_that_link_share_a_key():
     rnd = random.Random(2)
     for _ in range(4000):
