@@ -104,12 +104,14 @@ def _judged(docs: DataFrame, text: str) -> DataFrame:
 
 def clean_lines(docs: DataFrame, text: str = "text", n_chars: str | None = "n_chars") -> DataFrame:
     """Kept documents without their failing lines, in their own columns."""
+    # The input's columns go in one struct, so that none of theirs has the name of a working column.
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{text}`").alias("text"))
     # A verdict that isn't deterministic in form stays above the columns that it is made of;
     # pushed below them, the filter would repeat their expressions many times over.
-    d = _judged(docs, text).withColumn("_go", F.col("_kept") & (F.spark_partition_id() >= 0)).filter("_go")
-    clean = F.when(F.size("_failed") > 0, F.array_join(F.filter("_lines", lambda x: line_failure(x).isNull()), "\n")).otherwise(F.col(f"`{text}`"))
+    d = _judged(whole, "text").withColumn("_go", F.col("_kept") & (F.spark_partition_id() >= 0)).filter("_go")
+    clean = F.when(F.size("_failed") > 0, F.array_join(F.filter("_lines", lambda x: line_failure(x).isNull()), "\n")).otherwise(F.col("text"))
     new = {text: clean} | ({n_chars: F.length(clean).cast(docs.schema[n_chars].dataType)} if n_chars in docs.columns else {})
-    return d.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return d.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -19,6 +19,7 @@ parameter; its files are read by the tasks.
 from __future__ import annotations
 
 import base64
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -97,40 +98,49 @@ def edit(text: str, starts: list[int], nodes: list[int], start: int, stop: int,
     stop = min(max(stop, start), len(text))
     out = text[:start] + new + text[stop:]
     shift = len(out) - len(text)
-    counts = leaf_counts(starts, nodes)
-    first = max(0, sum(1 for s in starts if s <= start - 2) - 1)
+    # Encoding starts at the leaf before the one that holds the place before the edit.
+    first = max(0, bisect_right(starts, start - 2) - 2)
     at = starts[first] if starts else 0
-    old = {s + shift: k for k, s in enumerate(starts) if s >= stop and k > first}
-    fresh_starts, fresh_counts, run, n, begun, last = [], [], 0, 0, at, len(starts)
-    end = at
+    later = max(bisect_left(starts, stop), first + 1)  # leaves from here on begin after the edit
+    pieces, begins, last, end = [], [], len(starts), at
     for m in c.split.finditer(out, at):
-        if m.start() in old:
-            last = old[m.start()]
+        k = bisect_left(starts, m.start() - shift, later)
+        if k < len(starts) and starts[k] + shift == m.start():
+            last = k
             break
-        run += c.tokens(m[0])
-        n += 1
+        pieces.append(c.tokens(m[0]))
+        begins.append(m.start())
         end = m.end()
-        if n == LEAF:
-            fresh_starts.append(begun)
-            fresh_counts.append(run)
-            run, n, begun = 0, 0, end
-    if n:
-        fresh_starts.append(begun)
-        fresh_counts.append(run)
-    if len(fresh_counts) == last - first:  # as many leaves as before: only the paths above them change
+    leaves = last - first
+    if leaves and leaves <= len(pieces) <= 2 * LEAF * leaves:
+        # The pieces fill the leaves that were there, evenly: only the paths above them change.
+        cuts = [k * len(pieces) // leaves for k in range(leaves + 1)]
         nodes = list(nodes)
         half = len(nodes) // 2
         touched = set()
-        for k, v in enumerate(fresh_counts, half + first):
-            nodes[k] = v
-            touched.add((k - 1) // 2)
+        for k in range(leaves):
+            nodes[half + first + k] = sum(pieces[cuts[k] : cuts[k + 1]])
+            touched.add((half + first + k - 1) // 2)
         while touched and half:
             for k in touched:
                 nodes[k] = nodes[2 * k + 1] + nodes[2 * k + 2]
             touched = {(k - 1) // 2 for k in touched if k > 0}
+        fresh = [begins[k] for k in cuts[:-1]]
     else:
-        nodes = heap(counts[:first] + fresh_counts + counts[last:])
-    return out, starts[:first] + fresh_starts + [s + shift for s in starts[last:]], nodes, end - at
+        counts = leaf_counts(starts, nodes)
+        cuts = range(0, len(pieces), LEAF)
+        fresh = [begins[k] for k in cuts]
+        nodes = heap(counts[:first] + [sum(pieces[k : k + LEAF]) for k in cuts] + counts[last:])
+    return out, starts[:first] + fresh + [s + shift for s in starts[last:]], nodes, end - at
+
+
+#: Rows of a batch that are held as Python objects at a time.
+ROWS = 256
+
+
+def _slices(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    for k in range(0, max(1, len(columns[0])), ROWS):
+        yield tuple(c.slice(k, ROWS) for c in columns)
 
 
 def tree(text: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -140,7 +150,8 @@ def tree(text: Column, vocabulary: str = VOCABULARY) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(vocabulary)
         for texts in batches:
-            yield pa.array([dict(zip(("starts", "nodes"), build(t or "", c), strict=True)) for t in texts.to_pylist()], kind)
+            parts = [pa.array([dict(zip(("starts", "nodes"), build(t or "", c), strict=True)) for t in some.to_pylist()], kind) for (some,) in _slices(texts)]
+            yield pa.concat_arrays(parts)
 
     return F.arrow_udf(run, TREE)(text)
 
@@ -151,16 +162,19 @@ def edited(text: Column, tree: Column, edits: Column, vocabulary: str = VOCABULA
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         c = counter(vocabulary)
-        for texts, trees, lists in batches:
-            rows = []
-            for t, held, changes in zip(texts.to_pylist(), trees.to_pylist(), lists.to_pylist(), strict=True):
-                t, starts, nodes, total = t or "", held["starts"], held["nodes"], 0
-                for e in changes or ():
-                    if e is not None and e["start"] is not None:
-                        t, starts, nodes, n = edit(t, starts, nodes, e["start"], e["stop"] if e["stop"] is not None else e["start"], e["new"] or "", c)
-                        total += n
-                rows.append({"text": t, "starts": starts, "nodes": nodes, "encoded": total})
-            yield pa.array(rows, kind)
+        for batch in batches:
+            parts = []
+            for texts, trees, lists in _slices(*batch):
+                rows = []
+                for t, held, changes in zip(texts.to_pylist(), trees.to_pylist(), lists.to_pylist(), strict=True):
+                    t, starts, nodes, total = t or "", held["starts"], held["nodes"], 0
+                    for e in changes or ():
+                        if e is not None and e["start"] is not None:
+                            t, starts, nodes, n = edit(t, starts, nodes, e["start"], e["stop"] if e["stop"] is not None else e["start"], e["new"] or "", c)
+                            total += n
+                    rows.append({"text": t, "starts": starts, "nodes": nodes, "encoded": total})
+                parts.append(pa.array(rows, kind))
+            yield pa.concat_arrays(parts)
 
     return F.arrow_udf(run, EDITED)(text, tree, edits)
 
