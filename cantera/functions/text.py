@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -23,7 +24,13 @@ def _letters() -> tuple[str, str]:
 
 def strip_marks(text: Column) -> Column:
     """Accented Latin letters without their marks; composed or not."""
-    return F.translate(F.regexp_replace(text, r"[̀-ͯ]", ""), *_letters())
+    bare = F.translate(F.regexp_replace(text, r"[̀-ͯ]", ""), *_letters())
+    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` mentions it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def fold(text: Column) -> Column:
@@ -34,11 +41,6 @@ def fold(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(strip_marks(text)), "[^a-z0-9]+", " "))
 
 
-def fold_keep(text: Column) -> Column:
-    """Lower case without marks; punctuation stays."""
-    return F.lower(strip_marks(text))
-
-
 def slugify(text: Column, default: str = "sin-nombre") -> Column:
     s = F.replace(fold(text), F.lit(" "), F.lit("-"))
     return F.when(F.coalesce(s, F.lit("")) == "", default).otherwise(s)
@@ -60,11 +62,33 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def decode_entities(text: Column) -> Column:
+    """Six named entities and numeric ones as characters; others stay."""
+
+    def numeric(part: Column) -> Column:
+        code = F.when(part.rlike("^[xX]"), F.conv(F.regexp_extract(part, r"^[xX]([0-9a-fA-F]{1,6});", 1), 16, 10)).otherwise(F.regexp_extract(part, r"^(\d{1,7});", 1)).try_cast("int")
+
+        def char(n: Column) -> Column:
+            known = part.rlike(r"^(\d{1,7}|[xX][0-9a-fA-F]{1,6});") & n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            one = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+            return F.when(known, F.concat(one, F.regexp_replace(part, r"^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), part))
+
+        return once(code, char)
+
+    def plain(parts: Column) -> Column:
+        return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), numeric), ""))
+
+    def named(x: Column) -> Column:
+        # The named entities that are decoded; the ampersand comes last.
+        for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+            x = F.replace(x, F.lit(name), F.lit(char))
+        return x
+
+    return once(text, lambda x: F.when(F.contains(x, F.lit("&")), named(once(F.split(x, "&#"), plain))).otherwise(x))
+
+
 def html_to_text(html: Column) -> Column:
-    """Visible text: no scripts, styles or comments; tags to spaces; six named entities decoded."""
+    """Visible text: no scripts, styles or comments; tags to spaces; entities decoded."""
     text = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?</\1>|<!--.*?-->", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    # The entities that are decoded; the ampersand comes last.
-    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
+    text = decode_entities(F.regexp_replace(text, r"(?s)<[^>]*>", " "))
     return F.trim(F.regexp_replace(text, r"[ \t\n\r\f]+", " "))

@@ -31,5 +31,7 @@ def source_key(url: Column) -> Column:
     return F.concat(F.regexp_replace(host(url), r"^www\.", ""), F.regexp_replace(place, r"/+$", ""))
 
 
-def same_or_subdomain(h: Column, allowed: Column) -> Column:
-    return (h == allowed) | F.endswith(h, F.concat(F.lit("."), allowed))
+def domains(h: Column) -> Column:
+    """A host and the domains that it is a subdomain of, for an equi-join with a list of allowed ones."""
+    parts = F.split(h, r"\.")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "."))

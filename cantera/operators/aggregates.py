@@ -16,10 +16,6 @@ def ratio(part: Column, total: Column) -> Column:
     return F.when(total == 0, 0.0).otherwise(F.round(part * 100.0 / total, 1))
 
 
-def has_text(c: Column) -> Column:
-    return F.coalesce(F.trim(c) != "", F.lit(False))
-
-
 def correlated_count(outer: DataFrame, inner: DataFrame, key: str, ref: str, counted: str, least: int) -> DataFrame:
     """Rows of ``outer`` that at least ``least`` distinct rows of ``inner`` refer to, with the count."""
     counts = inner.filter(F.col(ref).isNotNull()).groupBy(ref).agg(F.countDistinct(counted).alias("n"))

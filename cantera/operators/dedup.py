@@ -35,8 +35,9 @@ def merged(df: DataFrame, key: str, item: str, order: str) -> DataFrame:
 
 
 def fingerprint(kind: Column, name: Column, lat: Column, lng: Column, digits: int = 5) -> Column:
-    """Folded name and rounded place; null without a place, so that such rows stay apart."""
-    return F.concat_ws(":", kind, fold(name), F.format_string(f"%.{digits}f,%.{digits}f", lat, lng)) if digits else F.concat_ws(":", kind, fold(name))
+    """Type, folded name and rounded place; null without a place, so that such rows stay apart."""
+    place = F.format_string(f"%.{digits}f,%.{digits}f", lat, lng)
+    return F.when(lat.isNotNull() & lng.isNotNull(), F.concat_ws(":", kind, fold(name), place))
 
 
 def occurrence_ids(df: DataFrame, key: str, order: list[Column], out: str = "unique_id") -> DataFrame:
@@ -46,11 +47,15 @@ def occurrence_ids(df: DataFrame, key: str, order: list[Column], out: str = "uni
 
 
 def unique_slugs(df: DataFrame, name: str, key: str, out: str = "slug") -> DataFrame:
-    """The first row of a slug keeps it; the others get a short hash of their key."""
+    """The first row of a slug keeps it; the others get a short hash of their key, and a number where that is taken too."""
     df = df.withColumn("_base", slugify(F.col(name)))
     n = F.row_number().over(Window.partitionBy("_base").orderBy(key))
     text = F.col(key).cast("string")
-    return df.withColumn(out, F.when(n == 1, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit("-"), F.substring(F.sha1(text), 1, 6)))).drop("_base")
+    slug = F.when(n == 1, F.col("_base")).otherwise(F.concat(F.col("_base"), F.lit("-"), F.substring(F.sha1(text), 1, 6)))
+    # A suffixed slug may be another row's base or hash alike: bases come first, then keys.
+    ranked = df.withColumn("_slug", slug)
+    again = F.row_number().over(Window.partitionBy("_slug").orderBy(F.col("_slug") != F.col("_base"), key))
+    return ranked.withColumn(out, F.when(again == 1, F.col("_slug")).otherwise(F.concat("_slug", F.lit("~"), again))).drop("_base", "_slug")
 
 
 def violations(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -22,19 +22,6 @@ def page_fields(pages: DataFrame, html: str = "html") -> DataFrame:
     )
 
 
-def edges(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """(src, host, target): internal links, resolved against the site's root, no fragments."""
-    raw = pages.select(F.col(key).alias("src"), host(F.col(url)).alias("host"), F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?i)<a\s[^>]*href=\"([^\"]*)\""), 1)).alias("href"))
-    internal = raw.filter(F.startswith("href", F.lit("/")) & ~F.startswith("href", F.lit("//")))
-    target = F.regexp_replace("href", r"[?#].*$", "")
-    return internal.select("src", "host", F.when(target.rlike(r"/$|\.[a-z]+$"), target).otherwise(F.concat(target, F.lit("/"))).alias("target"))
-
-
-def in_degree(links: DataFrame) -> DataFrame:
-    """Distinct sources of each target of a host, and all links to it."""
-    return links.groupBy("host", "target").agg(F.countDistinct("src").alias("n_sources"), F.count("*").alias("n_links"))
-
-
 def duplicate_groups(df: DataFrame, key: str, value: Column) -> DataFrame:
     """One row per member of a group of two or more: its value, the group's size and first key."""
     rows = df.select(F.col(key), value.alias("value")).filter(F.coalesce("value", F.lit("")) != "")

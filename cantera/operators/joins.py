@@ -36,10 +36,10 @@ def unresolved(df: DataFrame, ref: str, target: DataFrame, key: str) -> DataFram
 def within_radius(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     """Pairs (a_id, b_id, metres) at most so far apart; columns id, lat, lng; ids ascending.
 
-    An equi-join on grid cells, each at least as wide as the radius up to 60 degrees of
-    latitude, then the exact distance.
+    An equi-join on grid cells, each at least as wide as the radius at its latitude, then the
+    exact distance.
     """
-    size = metres / 55_000.0
+    size = metres / 111_000.0
     left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.explode(cells(F.col("lat"), F.col("lng"), size)).alias("_cell"))
     right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), cell(F.col("lat"), F.col("lng"), size).alias("_cell"))
     pairs = left.join(right, "_cell").filter("a_id < b_id").withColumn("metres", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")))

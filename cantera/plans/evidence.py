@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cantera.functions.urls import host, same_or_subdomain
+from cantera.functions.urls import domains, host
 from cantera.operators import classify, lifecycle, quality
 from cantera.sources import sinks
 
@@ -89,8 +89,8 @@ def fact_merge(spark, t):
     return both.select("user_id", "m.value", F.array_join("m.sources", ",").alias("sources"))
 
 
-STAGED = "SELECT o_orderkey AS k, o_totalprice AS v, CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'WARNING' ELSE 'FAIL' END AS outcome FROM orders WHERE o_orderkey % 2 = 0"
-PUBLISHED = "SELECT o_orderkey AS k, o_totalprice / 2 AS v FROM orders WHERE o_orderkey % 3 = 0"
+STAGED = "SELECT o_orderkey AS k, o_totalprice AS v, CASE o_orderstatus WHEN 'F' THEN 'PASS' WHEN 'O' THEN 'WARNING' ELSE 'FAIL' END AS outcome FROM orders WHERE o_orderpriority <> '5-LOW'"
+PUBLISHED = "SELECT o_orderkey AS k, o_totalprice / 2 AS v FROM orders WHERE o_orderstatus <> 'O' OR o_orderpriority = '5-LOW'"
 
 
 @query(f"""
@@ -99,8 +99,8 @@ SELECT k, v FROM s WHERE outcome <> 'FAIL' UNION ALL SELECT k, v FROM p WHERE k
 """)
 def promotion(spark, t):
     status = F.when(F.col("o_orderstatus") == "F", "PASS").when(F.col("o_orderstatus") == "O", "WARNING").otherwise("FAIL")
-    staged = t("orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), status.alias("outcome"))
-    published = t("orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 2).alias("v"))
+    staged = t("orders").filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"), status.alias("outcome"))
+    published = t("orders").filter("o_orderstatus <> 'O' or o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 2).alias("v"))
     return sinks.promote(staged, published, "k")
 
 
@@ -110,22 +110,22 @@ SELECT 'replace' AS mode, k, v FROM s UNION ALL SELECT 'replace', k, v FROM p WH
 UNION ALL SELECT 'absent', k, v FROM p UNION ALL SELECT 'absent', k, v FROM s WHERE k NOT IN (SELECT k FROM p)
 """)
 def batch_upserts(spark, t):
-    s = t("orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
-    p = t("orders").filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 2).alias("v"))
+    s = t("orders").filter("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("v"))
+    p = t("orders").filter("o_orderstatus <> 'O' or o_orderpriority = '5-LOW'").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 2).alias("v"))
     return sinks.create_or_replace(p, s, "k").select(F.lit("replace").alias("mode"), "k", "v").unionByName(sinks.create_if_absent(p, s, "k").select(F.lit("absent").alias("mode"), "k", "v"))
 
 
 @query("""
-WITH s AS (SELECT c_name AS path, md5(c_mktsegment) AS h FROM customer WHERE c_custkey % 3 <> 0),
-t AS (SELECT c_name AS path, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE md5(c_mktsegment) END AS h FROM customer WHERE c_custkey % 4 <> 0),
-o AS (SELECT c_name AS path FROM customer WHERE c_custkey % 2 = 0)
+WITH s AS (SELECT c_name AS path, md5(c_mktsegment) AS h FROM customer WHERE c_acctbal >= 0 OR c_mktsegment = 'BUILDING'),
+t AS (SELECT c_name AS path, CASE WHEN c_custkey % 5 = 0 THEN 'x' ELSE md5(c_mktsegment) END AS h FROM customer WHERE c_acctbal < 6000),
+o AS (SELECT c_name AS path FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD'))
 SELECT coalesce(s.path, t.path) AS path, CASE WHEN s.h IS NULL THEN 'keep' WHEN t.h IS NULL THEN 'create' WHEN s.h = t.h THEN 'same' WHEN o.path IS NOT NULL THEN 'update' ELSE 'conflict' END AS action
 FROM s FULL JOIN t ON s.path = t.path LEFT JOIN o ON o.path = coalesce(s.path, t.path)
 """)
 def artifact_sync(spark, t):
     c = t("customer").withColumn("path", F.col("c_name")).withColumn("hash", F.md5("c_mktsegment"))
-    target = c.filter("c_custkey % 4 <> 0").withColumn("hash", F.when(F.col("c_custkey") % 5 == 0, "x").otherwise(F.col("hash")))
-    return sinks.sync_state(c.filter("c_custkey % 3 <> 0").select("path", "hash"), target.select("path", "hash"), c.filter("c_custkey % 2 = 0").select("path"))
+    target = c.filter("c_acctbal < 6000").withColumn("hash", F.when(F.col("c_custkey") % 5 == 0, "x").otherwise(F.col("hash")))
+    return sinks.sync_state(c.filter("c_acctbal >= 0 or c_mktsegment = 'BUILDING'").select("path", "hash"), target.select("path", "hash"), c.filter("c_mktsegment in ('BUILDING', 'MACHINERY', 'HOUSEHOLD')").select("path"))
 
 
 @query("""
@@ -152,13 +152,13 @@ def date_ranges(spark, t):
 
 
 @query("""
-SELECT event_type, min(event_id) AS first, string_agg(user_id, ',' ORDER BY a) AS users
-FROM (SELECT event_type, user_id, min(event_id) AS a, min(min(event_id)) OVER (PARTITION BY event_type) AS event_id FROM events GROUP BY 1, 2) GROUP BY 1
+SELECT event_type, user_id, min(event_id) AS first, min(min(event_id)) OVER (PARTITION BY event_type) AS group_first FROM events GROUP BY 1, 2
 """)
 def first_seen_groups(spark, t):
-    each = t("events").groupBy("event_type", "user_id").agg(F.min("event_id").alias("a"))
-    lists = each.groupBy("event_type").agg(F.min("a").alias("first"), F.array_sort(F.collect_list(F.struct("a", "user_id"))).alias("l"))
-    return lists.select("event_type", "first", F.array_join(F.transform("l", lambda x: x["user_id"].cast("string")), ",").alias("users"))
+    each = t("events").groupBy("event_type", "user_id").agg(F.min("event_id").alias("first"))
+    # A row for each member: ordered by group_first and first, groups and members stand as first seen.
+    groups = t("events").groupBy("event_type").agg(F.min("event_id").alias("group_first"))
+    return each.join(groups, "event_type")
 
 
 @query("SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 100")
@@ -172,8 +172,8 @@ SELECT page_id, allowed FROM u JOIN (VALUES ('example.com'), ('example.org'), ('
 """)
 def allowed_hosts(spark, t):
     allowed = spark.createDataFrame([("example.com",), ("example.org",), ("tionsh.example.net",)], "allowed string")
-    u = t("pages").select("page_id", host(F.col("url")).alias("h"))
-    return u.join(F.broadcast(allowed), same_or_subdomain(F.col("h"), F.col("allowed"))).select("page_id", "allowed")
+    u = t("pages").select("page_id", F.explode(domains(host(F.col("url")))).alias("allowed"))
+    return u.join(allowed, "allowed").select("page_id", "allowed")
 
 
 @query("""

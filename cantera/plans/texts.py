@@ -41,14 +41,14 @@ TOKENS = f"list_distinct(list_filter(string_split({FOLD}, ' '), lambda w: length
 
 
 @query(f"""
-WITH c AS (SELECT conv_id * 1000 + turn AS id, {TOKENS} AS ts FROM conversations WHERE role <> 'system'),
-e AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM c WHERE len(ts) > 0),
-p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM e x JOIN e y ON x.w = y.w AND x.id < y.id GROUP BY 1, 2)
+WITH c AS (SELECT doc_id AS id, {TOKENS} AS ts FROM documents), i AS (SELECT item_id AS id, {TOKENS} AS ts FROM benchmark),
+e AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM c WHERE len(ts) > 0), f AS (SELECT id, len(ts) AS n, unnest(ts) AS w FROM i WHERE len(ts) > 0),
+p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM e x JOIN f y ON x.w = y.w GROUP BY 1, 2)
 SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.15
 """)
 def jaccard_pairs(spark, t):
-    c = t("conversations").filter("role <> 'system'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    return pairs.jaccard_pairs(c, c, 0.15).filter("a < b").withColumn("jaccard", F.round("jaccard", 6))
+    sets = lambda d, k: d.select(F.col(k).alias("key"), tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    return pairs.jaccard_pairs(sets(t("documents"), "doc_id"), sets(t("benchmark"), "item_id"), 0.15).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(f"""
@@ -64,12 +64,13 @@ def tf_cosine_pairs(spark, t):
 
 
 @query(f"""
-WITH i AS (SELECT item_id AS claim, {TOKENS} AS ts FROM benchmark), c AS (SELECT conv_id * 1000 + turn AS id, {TOKENS} AS ts FROM conversations)
-SELECT claim, (SELECT count(*) FROM c WHERE len(list_intersect(i.ts, c.ts)) > 0) AS n_support FROM i
+WITH i AS (SELECT item_id AS claim, {TOKENS} AS ts FROM benchmark), c AS (SELECT doc_id AS id, {TOKENS} AS ts FROM documents),
+e AS (SELECT claim, unnest(ts) AS w FROM i), f AS (SELECT id, unnest(ts) AS w FROM c), s AS (SELECT claim, count(DISTINCT id) AS n FROM e JOIN f USING (w) GROUP BY 1)
+SELECT claim, coalesce(n, 0) AS n_support FROM i LEFT JOIN s USING (claim)
 """)
 def claim_support(spark, t):
     claims = t("benchmark").select(F.col("item_id").alias("key"), tokens(F.col("text")).alias("tokens"))
-    facts = t("conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("key"), tokens(F.col("text")).alias("tokens"))
+    facts = t("documents").select(F.col("doc_id").alias("key"), tokens(F.col("text")).alias("tokens"))
     return pairs.claim_support(claims, facts)
 
 
@@ -86,16 +87,6 @@ def page_fields(spark, t):
     return graph.page_fields(t("pages")).select("page_id", "title", "h1", "n_h1", "n_links", "lang", "page_type")
 
 
-@query(r"""
-WITH l AS (SELECT page_id AS src, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages),
-e AS (SELECT src, host, regexp_replace(href, '[?#].*$', '') AS x FROM l WHERE starts_with(href, '/') AND NOT starts_with(href, '//')),
-g AS (SELECT src, host, CASE WHEN regexp_matches(x, '/$|\.[a-z]+$') THEN x ELSE x || '/' END AS target FROM e)
-SELECT host, target, count(DISTINCT src) AS n_sources, count(*) AS n_links FROM g GROUP BY 1, 2
-""")
-def link_graph(spark, t):
-    return graph.in_degree(graph.edges(t("pages")))
-
-
 @query(rf"""
 WITH v AS (SELECT page_id, {CLEAN.format("title")} AS value FROM pages)
 SELECT page_id, value, n, first FROM (SELECT *, count(*) OVER (PARTITION BY value) AS n, min(page_id) OVER (PARTITION BY value) AS first FROM v WHERE value <> '') WHERE n > 1

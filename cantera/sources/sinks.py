@@ -2,15 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _files(spark: SparkSession, path: str):
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    return hadoop.Path, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def replace_if(df: DataFrame, path: str, ok: bool) -> bool:
-    """Overwrite a table if the run that made it is sound; else leave what is there."""
-    if ok:
-        df.write.mode("overwrite").parquet(path)
-    return ok
+    """Replace a table if the run that made it is sound; else leave what is there.
+
+    The new table is written whole beside the old one and renamed into its place, so a write
+    that fails loses nothing.
+    """
+    if not ok:
+        return False
+    aside, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
+    name, files = _files(df.sparkSession, path)
+    try:
+        df.write.parquet(aside)
+    except Exception:
+        files.delete(name(aside), True)
+        raise
+    if files.exists(name(path)):
+        files.rename(name(path), name(old))
+    files.rename(name(aside), name(path))
+    files.delete(name(old), True)
+    return True
 
 
 def create_or_replace(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -34,9 +56,9 @@ def append_claims(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return new.dropDuplicates(key).join(old.select(*key), key, "left_anti")
 
 
-def plan_hash(*columns: Column) -> Column:
-    """SHA-256 of the columns as JSON, in the order of their names."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+def plan_hash(**columns: Column) -> Column:
+    """SHA-256 of named columns as JSON, in the order of their names."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(k) for k, c in sorted(columns.items())]), {"ignoreNullFields": "false"}), 256)
 
 
 def sync_state(source: DataFrame, target: DataFrame, owned: DataFrame) -> DataFrame:
@@ -45,3 +67,29 @@ def sync_state(source: DataFrame, target: DataFrame, owned: DataFrame) -> DataFr
     both = s.join(t, "path", "full").join(owned.select("path", F.lit(True).alias("own")), "path", "left")
     action = F.when(F.col("s").isNull(), "keep").when(F.col("t").isNull(), "create").when(F.col("s") == F.col("t"), "same").when(F.col("own"), "update").otherwise("conflict")
     return both.select("path", action.alias("action"))
+
+
+def manifest(old: DataFrame, new: DataFrame, now: str, key: str = "id") -> DataFrame:
+    """The manifest with new entries in place of old ones, all stamped, in the order of their keys."""
+    return create_or_replace(old.drop("updated"), new, key).withColumn("updated", F.lit(now)).orderBy(key)
+
+
+def phase_report(outcomes: DataFrame, domain: list[str]) -> DataFrame:
+    """(outcome, n) for each outcome of the domain, and their total."""
+    n = [F.count_if(F.col("outcome") == o).alias(o) for o in domain]
+    one = outcomes.agg(*n, F.count("*").alias("total"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(o).alias("outcome"), F.col(o).alias("n")) for o in [*domain, "total"]])).alias("r")).select("r.*")
+
+
+def record_phase(reports: DataFrame, new: DataFrame, phases: list[str]) -> DataFrame:
+    """Reports (topic, phase, outcome, stale) with new ones (topic, phase, outcome); later phases of their topics become stale."""
+    rank = lambda c: F.array_position(F.array(*[F.lit(p) for p in phases]), c)
+    first = new.groupBy(F.col("topic").alias("_topic")).agg(F.min(rank(F.col("phase"))).alias("_at"))
+    old = reports.join(new.select("topic", "phase"), ["topic", "phase"], "left_anti").join(first, F.col("topic") == F.col("_topic"), "left")
+    old = old.withColumn("stale", F.col("stale") | F.coalesce(rank(F.col("phase")) > F.col("_at"), F.lit(False))).drop("_topic", "_at")
+    return old.unionByName(new.withColumn("stale", F.lit(False)))
+
+
+def accepted(findings: DataFrame) -> DataFrame:
+    """Findings as a new baseline."""
+    return findings.distinct()

@@ -1,13 +1,16 @@
 """Operators on small inputs: boundaries, ties, nulls, order of rows."""
 
 import datetime
+import hashlib
 import pathlib
 import random
 
 from pyspark.sql import functions as F
 
-from cantera.functions import dates, geo, text, urls
-from cantera.operators import aggregates, dedup, graph, joins, lifecycle, pairs, selection
+from cantera.functions import dates, extract, geo, text, urls
+from cantera.functions.geo import inside_polygons
+from cantera.functions.text import decode_entities
+from cantera.operators import aggregates, audit, dedup, graph, joins, lifecycle, links, pairs, selection, validation
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
 
@@ -139,10 +142,78 @@ def test_lifecycle(spark):
     assert flags == {(3, 2, 1): (True, True), (1, 2, 3): (False, False), (5, 1, 2): (True, True)}
 
 
-def test_link_graph(spark):
-    pages = spark.createDataFrame([(1, "https://x.org/", '<a href="/a?b#c">1</a><a href="//y/z">2</a><a class="k" href="/a/">3</a>'), (2, "https://x.org/b", '<a href="/a.html">4</a>')], "page_id int, url string, html string")
-    got = {(r.host, r.target): (r.n_sources, r.n_links) for r in graph.in_degree(graph.edges(pages)).collect()}
-    assert got == {("x.org", "/a/"): (1, 2), ("x.org", "/a.html"): (1, 1)}
+def test_internal_targets(spark):
+    rows = [("/a?b#c", "/a/"), ("b", "/x/b/"), ("../b/./c.html", "/b/c.html"), ("../../../d/", "/d/"), ("", None), ("#x", None), ("mailto:a@b", None), ("//other.org/", None), ("//site.org", "/"), ("HTTPS://Site.org/q", "/q/"), ("http://site.org/", None), ("/f.pdf", None), ("?q=1", "/x/"), ("..", "/")]
+    df = spark.createDataFrame([(k, h) for k, (h, _) in enumerate(rows)], "k int, href string")
+    got = df.select("k", audit.internal_target(F.col("href"), F.lit("/x/"), F.lit("https"), F.lit("site.org")).alias("t")).collect()
+    assert {rows[r.k][0]: r.t for r in got} == dict(rows)
+
+
+def test_entities(spark):
+    rows = {"a &amp; b": "a & b", "&#233;&#xE9;&#x1F600;!": "éé😀!", "&#0;&#xD800; &#99999999;": "&#0;&#xD800; &#99999999;", "&eacute;&nbsp;x": "&eacute; x", "&#39&lt;": "&#39<", "plain": "plain"}
+    df = spark.createDataFrame([(k,) for k in rows], "t string").select("t", decode_entities(F.col("t")).alias("d"))
+    assert {r.t: r.d for r in df.collect()} == rows
+
+
+def test_ordered_findings_and_proposals(spark):
+    f = spark.createDataFrame([("/b", "x", None, "1"), ("/a", "y", "menu", "1"), ("/a", "y", None, "2"), ("/Z", "x", None, "0")], "route string, rule string, zone string, detail string")
+    assert [tuple(r) for r in audit.ordered(f).collect()] == [("/Z", "x", None, "0"), ("/a", "y", None, "2"), ("/a", "y", "menu", "1"), ("/b", "x", None, "1")]
+    p = spark.createDataFrame([("b", "z", "misma-zona", False), ("a", "z", "hub-ficha", False), ("c", "y", "ficha-hub", True), ("a", "z", "ficha-hub", False)], "src string, dst string, reason string, below boolean")
+    assert [r.src + r.reason for r in links.ordered(p).collect()] == ["cficha-hub", "ahub-ficha", "aficha-hub", "bmisma-zona"]
+    items = spark.createDataFrame([("/a/?x",), ("https://o/",), ("//o/",), ("/b/",)], "href string")
+    assert sorted(r.href for r in links.keep_known(items, "href", spark.createDataFrame([("/a/",)], "route string"), "route").collect()) == ["//o/", "/a/?x", "https://o/"]
+
+
+def test_fingerprints_and_slugs(spark):
+    rows = spark.createDataFrame([(1, "bar", "A", None, 1.0), (2, "bar", "A", None, 1.0), (3, "bar", "Á", 38.123456, -0.1)], "k int, t string, n string, lat double, lng double")
+    got = [r.f for r in rows.select(dedup.fingerprint(F.col("t"), F.col("n"), F.col("lat"), F.col("lng")).alias("f")).collect()]
+    assert got == [None, None, "bar:a:38.12346,-0.10000"]
+    taken = "sol-" + hashlib.sha1(b"2").hexdigest()[:6]
+    names = spark.createDataFrame([(1, "Sol"), (2, "sol"), (3, taken)], "k int, n string")
+    slugs = {r.k: r.slug for r in dedup.unique_slugs(names, "n", "k").collect()}
+    assert slugs == {1: "sol", 2: taken + "~2", 3: taken}
+
+
+def test_radius_anywhere(spark):
+    places = [("a", 80.0, 10.0), ("b", 80.0, 10.004), ("c", 10.0, 179.9999), ("d", 10.0, -179.9999), ("e", -45.0, 20.0), ("f", -45.0007, 20.0), ("g", 89.99, 0.0), ("h", 89.99, 120.0), ("i", 0.0, 0.002)]
+    df = spark.createDataFrame(places, "id string, lat double, lng double")
+    got = {(r.a_id, r.b_id) for r in joins.within_radius(df, df, 100).collect()}
+    assert got == {("a", "b"), ("c", "d"), ("e", "f")}
+    assert {(r.a_id, r.b_id) for r in joins.within_radius(df, df, 3000).collect()} >= {("g", "h")}
+
+
+def test_multipolygon(spark):
+    square = lambda x, y, n: [(x, y), (x + n, y), (x + n, y + n), (x, y + n)]
+    shapes = [[square(0, 0, 4), square(1, 1, 1)], [square(10, 10, 2)]]
+    df = spark.createDataFrame([(0.5, 0.5), (1.5, 1.5), (11.0, 11.0), (6.0, 6.0), (None, 1.0)], "lat double, lng double")
+    assert [r.x for r in df.select(inside_polygons(F.col("lat"), F.col("lng"), shapes).alias("x")).collect()] == [True, False, True, False, False]
+
+
+def test_order_of_lists(spark):
+    df = spark.createDataFrame([(["a", "b"], ["a", "b"]), (["a", "b"], ["b"]), ([], [])], "x array<string>, y array<string>")
+    assert [r.d for r in df.select(validation.order_mismatch(F.col("x"), F.col("y")).alias("d")).collect()] == [[], [0, 1], []]
+
+
+def test_external_facts(spark):
+    df = spark.createDataFrame([(["brand"], ["third-party"], "confirmed"), (["establishment"], ["third-party"], "mismatch"), (["establishment"], ["third-party"], "ambiguous"), (["establishment"], ["open-data"], "ambiguous"), (["establishment"], ["third-party"], "confirmed")], "s array<string>, c array<string>, o string")
+    got = [r.x for r in df.select(validation.external_acceptance(F.col("s"), F.col("c"), F.col("o")).alias("x")).collect()]
+    assert got == ["BRAND_SCOPE_NOT_LOCAL", "IDENTITY_MISMATCH", "AMBIGUOUS_EXTERNAL_IDENTITY", None, None]
+
+
+def test_text_cuts(spark):
+    text = "La sala grande mira al mar desde la primera planta del edificio, y la terraza cubierta cierra en invierno. Otra cosa."
+    df = spark.createDataFrame([(text, ["Terraza cubierta cerrada en invierno"]), (text, []), ("corto, terraza cubierta", ["terraza cubierta"])], "t string, o array<string>")
+    got = [r.x for r in df.select(extract.without_repeats(F.col("t"), F.col("o")).alias("x")).collect()]
+    assert "invierno" not in got[0] and got[0].startswith("La sala") and got[1:] == [text, "corto, terraza cubierta"]
+    ex = df.select(extract.excerpt(F.col("t"), F.lit("ÓTRA")).alias("e")).first().e
+    assert ex == "Otra cosa."
+    tags = spark.createDataFrame([("pizza;local_food, x", "yes"), (None, "NO"), ("", "maybe")], "v string, b string").select(extract.tag_list(F.col("v")).alias("l"), extract.tag_boolean(F.col("b")).alias("b")).collect()
+    assert [tuple(r) for r in tags] == [(["pizza", "local food", "x"], True), (None, False), ([], None)]
+
+
+def test_quoted_hours(spark):
+    df = spark.createDataFrame([("09:00-14:30", "de 9:00 a 14:30"), ("09:00-14:30", "de 9:00"), ("10:00", "110:00")], "v string, q string")
+    assert [r.x for r in df.select(extract.quoted_hours(F.col("v"), F.col("q")).alias("x")).collect()] == [True, False, False]
 
 
 def test_no_present_time_in_semantics():

@@ -2,11 +2,12 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from cantera.operators import quality
-from cantera.sources import files, sinks
+from cantera.operators import discovery, quality, reports
+from cantera.sources import cache, files, sinks
 from cantera.streaming import runs
 
 SCHEMA = StructType([StructField("_id", StringType()), StructField("n", LongType())])
@@ -53,8 +54,93 @@ def test_sinks(spark, tmp_path):
     path = str(tmp_path / "t")
     assert sinks.replace_if(old, path, True) and not sinks.replace_if(new, path, False)
     assert rows(spark.read.parquet(path)) == rows(old)
-    a, b = (spark.createDataFrame([(1, v)], "x int, y string").select(sinks.plan_hash(F.col("x"), F.col("y")).alias("h")).first().h for v in ("p", None))
+    a, b = (spark.createDataFrame([(1, v)], "x int, y string").select(sinks.plan_hash(x=F.col("x"), y=F.col("y")).alias("h")).first().h for v in ("p", None))
     assert a != b and len(a) == 64
+    row = spark.createDataFrame([(1, "p")], "x int, y string")
+    assert row.select(sinks.plan_hash(y=F.col("y"), x=F.col("x")).alias("h")).first().h == a
+
+
+def test_failed_write_keeps_the_old_table(spark, tmp_path):
+    old = spark.createDataFrame([("a", 1)], "k string, v int")
+    path = str(tmp_path / "t")
+    assert sinks.replace_if(old, path, True)
+    bad = old.withColumn("v", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        sinks.replace_if(bad, path, True)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 1)]
+    assert sinks.replace_if(old.withColumn("v", F.lit(2)), path, True)
+    assert [tuple(r) for r in spark.read.parquet(path).collect()] == [("a", 2)] and [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["t"]
+
+
+def test_documents_by_type(spark, tmp_path):
+    schema = StructType([StructField("_id", StringType()), StructField("_type", StringType())])
+    for kind, name, body in (("a", "1", '{"_id": "1", "_type": "a"}'), ("a", "2", '{"_id": "2", "_type": "b"}'), ("b", "3", "{"), ("b", "4", '{"_id": "4", "_type": "b"}')):
+        (tmp_path / kind).mkdir(exist_ok=True)
+        (tmp_path / kind / f"{name}.json").write_text(body)
+    good, issues = files.typed_documents(spark, {k: str(tmp_path / k) for k in ("a", "b", "absent")}, schema)
+    assert sorted(r._id for r in good.collect()) == ["1", "4"]
+    assert sorted((r.path[-6:], r.code) for r in issues.collect()) == [("2.json", "type"), ("3.json", "unreadable")]
+    docs = files.json_documents(spark, str(tmp_path / "b"), schema).cache()
+    wanted = spark.createDataFrame([("3.json",), ("4.json",), ("5.json",)], "name string")
+    assert {tuple(r) for r in files.states(docs, wanted).collect()} == {("3.json", "invalid"), ("4.json", "available"), ("5.json", "missing")}
+    assert [tuple(r) for r in files.json_or(spark, str(tmp_path / "none.json"), schema, [("x", "y")]).collect()] == [("x", "y")]
+    assert files.json_or(spark, str(tmp_path / "a" / "1.json"), schema, []).first()._id == "1"
+    assert [r.path for r in files.relative_paths(spark, str(tmp_path)).collect()] == ["a/1.json", "a/2.json", "b/3.json", "b/4.json"]
+
+
+def test_index_merge(spark):
+    schema = "path string, modified int, size int, state string, name string"
+    index = spark.createDataFrame([("a", 1, 1, "available", "A"), ("b", 1, 1, "available", "B"), ("c", 1, 1, "available", "C")], schema)
+    now = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("d", 1, 1)], "path string, modified int, size int")
+    assert sorted(r.path for r in files.changed_files(now, index.select("path", "modified", "size")).collect()) == ["b", "d"]
+    parsed = spark.createDataFrame([("b", 2, 1, "invalid", None), ("d", 1, 1, "available", "D")], schema)
+    rows, warnings = files.merged_index(index, parsed, now)
+    assert sorted((r.path, r.name) for r in rows.collect()) == [("a", "A"), ("b", None), ("d", "D")]
+    assert [tuple(r) for r in warnings.collect()] == [("b", "invalid")]
+
+
+def test_map_extract_and_manual_rows(spark, tmp_path):
+    (tmp_path / "x.json").write_text(json.dumps({"elements": [{"type": "node", "id": 1, "lat": 38.5, "lon": -0.1, "tags": {"amenity": "bar", "name": "B"}}, {"type": "way", "id": 2, "center": {"lat": 38.5, "lon": -0.1}, "tags": {"shop": "x", "name": "S"}}, {"type": "area", "id": 3}, {"type": "node", "tags": {}}]}))
+    records = discovery.normalised(files.map_elements(spark, str(tmp_path / "x.json")))
+    found, status = files.extract_run(records, ["bar"], (38.0, -1.0, 39.0, 0.0))
+    assert [r.identifier for r in found.collect()] == ["node/1"] and status == "completed"
+    assert files.extract_run(records, ["hotel"], (38.0, -1.0, 39.0, 0.0))[1] == "anomalous-empty"
+    (tmp_path / "m.json").write_text('[{"name": "a", "type": "bar"}, {"name": " ", "type": "bar"}]')
+    rows = files.manual_rows(spark, str(tmp_path / "m.json"), "name: string, type: string", ["type"])
+    assert [(r.ord, r.name) for r in rows.collect()] == [(0, "a"), (1, " ")]
+    with pytest.raises(Exception, match="row 1 lacks name"):
+        files.manual_rows(spark, str(tmp_path / "m.json"), "name: string, type: string", ["name", "type"]).collect()
+
+
+def test_sitemap_index(spark, tmp_path):
+    (tmp_path / "sitemap-index.xml").write_text("<loc>https://x/sitemap-0.xml</loc>")
+    (tmp_path / "sitemap-0.xml").write_text("<loc>https://x/a/</loc><loc> https://x/b/ </loc>")
+    (tmp_path / "sitemap-old.xml").write_text("<loc>https://x/old/</loc>")
+    assert sorted(r.url for r in files.indexed_sitemap_urls(spark, str(tmp_path)).collect()) == ["https://x/a/", "https://x/b/"]
+
+
+def test_cache(spark):
+    rows = [("f", 1, "2026-01-01 00:00:00", "old"), ("f", 1, "2026-01-03 00:00:00", "new"), ("g", 2, "2026-01-03 00:00:00", "other version"), ("h", 1, "2026-02-03 00:00:00", "from the future"), ("i", 1, "2025-01-01 00:00:00", "too old")]
+    table = spark.createDataFrame(rows, "fingerprint string, version int, stored string, result string").withColumn("stored", F.col("stored").cast("timestamp"))
+    wanted = spark.createDataFrame([(k,) for k in "fghij"], "fingerprint string")
+    got = {r.fingerprint: r.result for r in cache.load(wanted, table, "2026-01-05 00:00:00", 7).collect()}
+    assert got == {"f": "new", "g": None, "h": None, "i": None, "j": None}
+    saved = cache.save(table, spark.createDataFrame([("f", "made")], "fingerprint string, result string"), "2026-01-05 00:00:00")
+    assert {r.fingerprint: r.result for r in cache.load(wanted, saved, "2026-01-06 00:00:00", 7).collect()}["f"] == "made" and saved.count() == 4
+
+
+def test_reports_and_manifest(spark):
+    out = spark.createDataFrame([("PASS",), ("PASS",), ("FAIL",)], "outcome string")
+    assert [tuple(r) for r in sinks.phase_report(out, ["PASS", "WARNING", "FAIL"]).collect()] == [("PASS", 2), ("WARNING", 0), ("FAIL", 1), ("total", 3)]
+    old = spark.createDataFrame([("t", "select", "PASS", False), ("t", "enrich", "PASS", False), ("t", "qa", "PASS", False), ("u", "qa", "PASS", False)], "topic string, phase string, outcome string, stale boolean")
+    new = spark.createDataFrame([("t", "enrich", "FAIL")], "topic string, phase string, outcome string")
+    rows = {(r.topic, r.phase): (r.outcome, r.stale) for r in sinks.record_phase(old, new, ["select", "enrich", "qa"]).collect()}
+    assert rows == {("t", "select"): ("PASS", False), ("t", "enrich"): ("FAIL", False), ("t", "qa"): ("PASS", True), ("u", "qa"): ("PASS", False)}
+    m = sinks.manifest(spark.createDataFrame([("b", 1, "x"), ("a", 1, "x")], "id string, v int, updated string"), spark.createDataFrame([("b", 2)], "id string, v int"), "now")
+    assert [tuple(r) for r in m.collect()] == [("a", 1, "now"), ("b", 2, "now")]
+    assert sinks.accepted(out).count() == 2
+    table = spark.createDataFrame([("a|b", 2), (None, 1)], "k string, n int")
+    assert [r.x for r in table.select(reports.markdown_table(table).alias("x")).collect()] == ["| a\\|b | 2 |", "|  | 1 |"]
 
 
 def test_fact_and_map_merges(spark):
