@@ -8,12 +8,17 @@ predicates on record type and headers reject it, or if option ``payload`` is fal
 
 Written columns: page, uri, digest, refers_to (strings), payload_bytes (long), payload
 (binary; null: a revisit record). Read columns: SCHEMA. A header whose value is null isn't
-written; control characters in a value are percent-encoded.
+written; control characters and outer spaces in a value are percent-encoded.
+
+Archives of other writers are read too, gzip members included: header names in any case,
+records without some headers (null columns), payloads without an HTTP head (the whole
+block), any record type; their values are taken as they stand.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import re
@@ -26,7 +31,6 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, WriterCommitMessage
-
 from pyspark.sql.types import StringType
 
 from .shared import bounded, scratch, table, written
@@ -41,6 +45,8 @@ READ = 1 << 20
 # Fixed names of the format, and of this library's own fields.
 TYPE, URI, DIGEST, PAGE, REFERS, SIZE = "WARC-Type", "WARC-Target-URI", "WARC-Payload-Digest", "X-Page-Id", "X-Refers-To-Page", "X-Payload-Length"
 HEADERS = {"record_type": TYPE, "uri": URI, "digest": DIGEST, "page": PAGE, "refers_to": REFERS}
+#: Names as they are written; they are read in any case.
+NAMES = {x.lower(): x for x in (*HEADERS.values(), SIZE, "Content-Length")}
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -67,7 +73,7 @@ def encode_record(page: str | None, uri: str | None, digest: str, refers_to: str
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
     ]
-    safe = lambda v: re.sub(r"[\x00-\x1f\x7f%]", lambda m: f"%{ord(m[0]):02X}", v)
+    safe = lambda v: re.sub(r"[\x00-\x1f\x7f%]|^ +| +$", lambda m: "".join(f"%{ord(c):02X}" for c in m[0]), v)
     head = "WARC/1.1\r\n" + "".join(f"{k}: {safe(v)}\r\n" for k, v in fields if v is not None)
     return head.encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -84,16 +90,19 @@ def read_records(stream, want, payload: bool) -> Iterator[tuple[int, dict[str, s
             continue
         head: dict[str, str] = {}
         while (line := f.readline()).strip():
-            name, _, value = line.decode().partition(":")
-            head[name] = re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), value.strip(" \r\n"))
-        size = int(head["Content-Length"])
+            name, _, value = line.decode(errors="replace").partition(":")
+            head[NAMES.get(name.strip().lower(), name)] = value.strip(" \t\r\n")
+        if SIZE in head:  # a record of this writer, which escapes its values
+            head = {k: re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), v) for k, v in head.items()}
+        size = int(head.get("Content-Length", 0))
         if not want(head):
             f.seek(size, 1)
             continue
         body = None
-        if payload and head[TYPE] == "response":
+        if payload and head.get(TYPE) == "response":
             block = f.read(size)
-            body = block[block.index(b"\r\n\r\n") + 4 :]
+            cut = block.find(b"\r\n\r\n") if block.startswith(b"HTTP/") else -4
+            body = block[cut + 4 :] if cut != -1 else b""
         else:
             f.seek(size, 1)
         yield place, head, body
@@ -136,7 +145,7 @@ class Staged(WriterCommitMessage):
 class WarcReader(DataSourceReader):
     def __init__(self, path: str, payload: bool):
         self.path, self.payload = path, payload
-        self.equal: list[tuple[str, set]] = []
+        self.equal: list[tuple[str, set | None]] = []
 
     def pushFilters(self, filters):
         for f in filters:
@@ -146,28 +155,29 @@ class WarcReader(DataSourceReader):
             elif name in HEADERS and isinstance(f, In):
                 self.equal.append((name, set(f.value)))
             elif name in HEADERS and isinstance(f, IsNotNull):
-                self.equal.append((name, set()))
+                self.equal.append((name, None))
             else:
                 yield f
 
     def partitions(self):
         fs, path = _store(self.path)
         found = fs.get_file_info(pyarrow.fs.FileSelector(path, allow_not_found=True))
-        return [ArchiveFile(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith(".warc")] or [ArchiveFile("")]
+        return [ArchiveFile(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and x.path.endswith((".warc", ".warc.gz"))] or [ArchiveFile("")]
 
     def read(self, partition):
         if not partition.path:
             return
-        tests = [(HEADERS[name], {f"sha1:{v}" for v in values} if name == "digest" else values) for name, values in self.equal]
-        want = lambda head: all(name in head and (not values or head[name] in values) for name, values in tests)
+        tests = [(HEADERS[name], {f"sha1:{v}" for v in values} if name == "digest" and values is not None else values) for name, values in self.equal]
+        want = lambda head: all(name in head and (values is None or head[name] in values) for name, values in tests)
         fs, _ = _store(self.path)
         names = ["file", "place", "record_type", "page", "uri", "digest", "refers_to", "payload_bytes", "payload"]
         types = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary()]
         rows, held = [], 0
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
         with fs.open_input_file(partition.path) as f:
-            for place, h, body in read_records(_Raw(f), want, self.payload):
-                rows.append((partition.path, place, h[TYPE], h.get(PAGE), h.get(URI), h[DIGEST].removeprefix("sha1:"), h.get(REFERS), int(h[SIZE]) if SIZE in h else None, body))
+            raw = gzip.GzipFile(fileobj=_Raw(f)) if partition.path.endswith(".gz") else _Raw(f)
+            for place, h, body in read_records(raw, want, self.payload):
+                rows.append((partition.path, place, h.get(TYPE), h.get(PAGE), h.get(URI), h[DIGEST].removeprefix("sha1:") if DIGEST in h else None, h.get(REFERS), int(h[SIZE]) if SIZE in h else None, body))
                 held += len(body or b"") + 256
                 if held > READ * 4:
                     yield batch()

@@ -1,6 +1,7 @@
 """Operators over the whole corpus: line dedup, sharding, WARC, n-gram join, mixing, pipeline."""
 
 import base64
+import gzip
 import hashlib
 import math
 import os
@@ -382,6 +383,27 @@ def test_warc_pushdown_and_empty(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
+def test_warc_of_other_writers(spark, tmp_path):
+    def record(headers, block):
+        return "\r\n".join(["WARC/1.0", *headers, f"content-length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    data = [
+        record(["warc-type: warcinfo"], b"software: x\r\n"),
+        record(["WARC-TYPE: response", "warc-target-uri:  http://x/a%20b "], b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"),
+        record(["WARC-Type: response", "WARC-Target-URI: dns:x"], b"no head"),
+        record(["WARC-Type: request"], b"GET / HTTP/1.1\r\n\r\n"),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(data))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, data)))
+    rows = warc.read_archives(spark, f"file://{tmp_path}").select("record_type", "uri", "digest", "payload").collect()
+    want = [("request", None, None, None), ("response", "dns:x", None, b"no head"), ("response", "http://x/a%20b", None, b"body"), ("warcinfo", None, None, None)]
+    assert sorted(((r.record_type, r.uri, r.digest, r.payload and bytes(r.payload)) for r in rows), key=str) == sorted(want * 2, key=str)
+    pages = spark.createDataFrame([(1, " http://x/%41 ", "t"), (2, None, None)], "page_id bigint, url string, html string")
+    path = scratch(spark, "warc")
+    warc.write_archives(pages, path)
+    assert {r.page: r.uri for r in warc.read_archives(spark, path).collect()} == {"1": " http://x/%41 ", "2": None}
+
+
 def test_mixing(spark):
     rnd = random.Random(4)
     rows = [(k, " ".join(["w"] * rnd.choice([0, 1, 20, 300])), rnd.choice(["a", "a", "a", "b", "c", None])) for k in range(400)] + [(400, None, "z"), (None, "x y", "b"), (3, "x y", "b")]
