@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh, table, written
+from .shared import fresh, table, tidy, written
 
 WINDOW = 10
 #: Words of items that one automaton may hold, about 60 MB; more items are scanned in blocks.
@@ -285,7 +285,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", n_chars
         before = F.lit(None).cast(LEAK) if k == 0 else F.col(f"`{out}`")
         done = written(done.withColumn(out, F.arrow_udf(_scanner(automaton), LEAK)(F.col(f"`{text}`"), before)), "leaks")
     at = names.index(n_chars) if n_chars in names else None
-    return done.mapInArrow(_cleaner(held[-1], names.index(text), len(names) if len(held) > 1 else None, at, len(names), max_coverage), docs.schema)
+    return done.mapInArrow(tidy(_cleaner(held[-1], names.index(text), len(names) if len(held) > 1 else None, at, len(names), max_coverage)), docs.schema)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, written
+from .shared import discard, tidy, written
 
 
 def shared_sigs(index: DataFrame) -> DataFrame:
@@ -96,18 +96,17 @@ def _near_stars(close: Close):
     return run
 
 
-def _pairs(near: Near, close: Close | None):
-    """Distinct pairs of members of a cell that may link; rows come sorted by cell."""
+def _pairs(near: Near, close: Close | None, best: bool):
+    """Distinct pairs of members of a cell that may link; rows come sorted by cell.
 
-    def compared(t: dict[str, np.ndarray], i: int, j: int) -> np.ndarray:
-        """Places of the pairs among the rows i to j that are one cell."""
-        x, y = np.triu_indices(j - i, 1)
-        x, y = x + i, y + i
-        if t["x"][i] != t["y"][i]:  # two blocks: pairs across them only
-            across = t["block"][x] != t["block"][y]
-            x, y = x[across], y[across]
-        apart = t["root"][x] != t["root"][y]
-        x, y = x[apart], y[apart]
+    With ``best``, of the pairs of members of two components only the one with the smallest
+    keys of each task: one link joins both, whatever the others are.
+    """
+
+    def compared(t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Of pairs of places, in either order, those that may link."""
+        keep = (t["root"][x] != t["root"][y]) & ((t["x"][x] == t["y"][x]) | (t["block"][x] != t["block"][y]))
+        x, y = x[keep], y[keep]
         swap = (t["n"][x] > t["n"][y]) | ((t["n"][x] == t["n"][y]) & (t["key"][x] > t["key"][y]))
         x, y = np.where(swap, y, x), np.where(swap, x, y)
         keep = t["probe"][x] & near(t["n"][x], t["n"][y], t["lo"][x], t["hi"][x])
@@ -116,7 +115,14 @@ def _pairs(near: Near, close: Close | None):
             parts = [(x[k : k + PART], y[k : k + PART]) for k in range(0, len(x), PART)]
             keep = [close(t["size"][a], t["size"][b], t["sketch"][a], t["sketch"][b]) for a, b in parts]
             x, y = (np.concatenate([p[side][ok] for p, ok in zip(parts, keep, strict=True)]) if parts else x for side in (0, 1))
-        return np.stack((t["key"][x], t["key"][y], t["th"][x], t["th"][y]), 1)
+        return np.stack((t["key"][x], t["key"][y], t["th"][x], t["th"][y], np.minimum(t["root"][x], t["root"][y]), np.maximum(t["root"][x], t["root"][y])), 1)
+
+    def distinct(found: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(found)
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0], rows[:, 5], rows[:, 4]))]
+        by = rows[:, 4:] if best else rows[:, :2]
+        rows = rows[np.concatenate(([True], (by[1:] != by[:-1]).any(1)))] if len(rows) else rows
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(6)], ["a", "b", "ta", "tb", "ra", "rb"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -132,35 +138,43 @@ def _pairs(near: Near, close: Close | None):
             new = (t["sig"][1:] != t["sig"][:-1]) | (t["x"][1:] != t["x"][:-1]) | (t["y"][1:] != t["y"][:-1])
             edges = np.concatenate(([0], np.flatnonzero(new) + 1, [table.num_rows]))
             last = len(edges) - 1 if batch is None else len(edges) - 2
-            for i, j in zip(edges[:last].tolist(), edges[1 : last + 1].tolist(), strict=True):
-                found.append(compared(t, i, j))
-                held += len(found[-1])
-                if held >= HELD:
-                    yield _distinct(found)
-                    found, held = [], 0
+            starts, sizes = edges[:last], np.diff(edges[: last + 1])
+            # Cells of one size are compared together, as far as memory allows.
+            for size in np.unique(sizes[sizes > 1]):
+                x, y = np.triu_indices(size, 1)
+                some = starts[sizes == size]
+                step = max(1, (1 << 17) // len(x))
+                for k in range(0, len(some), step):
+                    at = some[k : k + step, None]
+                    found.append(compared(t, (at + x).ravel(), (at + y).ravel()))
+                    held += len(found[-1])
+                    if held >= HELD:
+                        found = [np.stack([c.to_numpy() for c in distinct(found).columns], 1)]
+                        if len(found[0]) > HELD // 2:
+                            yield distinct(found)
+                            found = []
+                        held = sum(map(len, found))
             rest = None if batch is None else table.slice(int(edges[last])).combine_chunks()
         if held:
-            yield _distinct(found)
+            yield distinct(found)
 
     return run
 
 
-def _distinct(found: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.unique(np.concatenate(found), axis=0)
-    return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(4)], ["a", "b", "ta", "tb"])
+STARS = "a bigint, b bigint, ta bigint, tb bigint"
+PAIRS = f"{STARS}, ra bigint, rb bigint"
 
 
-PAIRS = "a bigint, b bigint, ta bigint, tb bigint"
-
-
-def linked(members: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame | None = None, close: Close | None = None) -> DataFrame:
+def linked(members: DataFrame, near: Near, verify: Callable[[DataFrame], DataFrame], sketch: DataFrame | None = None, close: Close | None = None, first_best: bool = False) -> DataFrame:
     """(node, root) of the linked members.
 
     ``members`` has sig, g (the members of sig), key, n (a size), th, probe, lo and hi, and is
     discarded. ``near`` is a necessary condition on a smaller and a larger size, lo and hi, of
     columns and of arrays; ``close`` one on the sizes and sketches of pairs, ``sketch`` having
     key, size and sketch (binary, of one length); ``verify`` takes distinct pairs (a, b, ta, tb)
-    of keys and their ths and returns those that link.
+    of keys and their ths and returns those that link. With ``first_best``, a pair for each two
+    components that meet is verified before all that are left: it saves verifying many pairs of
+    the same components, for one more pass.
     """
     score = members.groupBy(F.col("key").alias("_key")).agg(F.sum("g").alias("score"))
     known = written(members.join(score, F.col("key") == F.col("_key")).drop("_key"), "known")
@@ -175,23 +189,41 @@ def linked(members: DataFrame, near: Near, verify: Callable[[DataFrame], DataFra
     if sketch is not None:
         for x in "ab":
             stars = stars.join(sketch.select(F.col("key").alias("_key"), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")), F.col(x) == F.col("_key")).drop("_key")
-        stars = stars.select("a", "b", "ta", "tb", "na", "nb", "sa", "sb").mapInArrow(_near_stars(close), PAIRS)
+        stars = stars.select("a", "b", "ta", "tb", "na", "nb", "sa", "sb").mapInArrow(_near_stars(close), STARS)
     links = written(verify(written(stars, "stars")), "links")
 
-    stars = components(links)
-    roots = stars.withColumnRenamed("node", "_node")
-    rooted = known.join(roots, F.col("key") == F.col("_node"), "left").drop("_node", "score").withColumn("root", F.coalesce("root", "key"))
-    rooted = written(rooted, "rooted")
+    roots = components(links)
+    rooted = written(_rooted(known.drop("score"), roots), "rooted")
     discard(known)
-    mixed = rooted.groupBy(F.col("sig").alias("_sig")).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bool_or("probe").alias("any")).filter("a <> b and any").select("_sig")
-    open_ = rooted.join(mixed, F.col("sig") == F.col("_sig"), "left_semi")
+
+    edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for best in (True, False) if first_best else (False,):
+        cross = _crossing(rooted, sketch).mapInArrow(tidy(_pairs(near, close, best)), PAIRS)
+        pair = F.struct("a", "b", "ta", "tb")
+        cross = cross.groupBy("ra", "rb").agg(F.min(pair).alias("p")).select("p.*") if best else cross.select("a", "b", "ta", "tb").distinct()
+        cross = written(cross, "cross")
+        more = written(verify(cross), "more")
+        roots = components(edges.unionByName(more.select("a", "b")))
+        if best:
+            edges = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+            before, rooted = rooted, written(_rooted(rooted.drop("root"), roots), "rooted")
+            discard(before)
+    discard(rooted)
+    return roots
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the root of their component, themselves if they have none; groups within one component go."""
+    both = members.join(roots.withColumnRenamed("node", "_node"), F.col("key") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "key"))
+    mixed = both.groupBy(F.col("sig").alias("_sig")).agg(F.min("root").alias("a"), F.max("root").alias("b"), F.bool_or("probe").alias("any")).filter("a <> b and any").select("_sig")
+    return both.join(mixed, F.col("sig") == F.col("_sig"), "left_semi")
+
+
+def _crossing(rooted: DataFrame, sketch: DataFrame | None) -> DataFrame:
+    """Members of groups with several components, dealt to cells of pairs of blocks and sorted by them."""
     blocks = F.ceil(F.col("g") / BLOCK).cast("int")
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "g")
+    rows = rooted.withColumn("block", F.pmod(F.xxhash64("key"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")).drop("other", "g")
     if sketch is not None:
-        open_ = open_.join(sketch.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).drop("_key")
-    cross = open_.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y").mapInArrow(_pairs(near, close), PAIRS)
-    cross = written(cross.distinct(), "cross")
-    discard(rooted)
-    more = written(verify(cross), "more")
-    return components(stars.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more.select("a", "b")))
+        rows = rows.join(sketch.withColumnRenamed("key", "_key"), F.col("key") == F.col("_key")).drop("_key")
+    return rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .linking import linked, shared_sigs, with_groups
-from .shared import bounded, discard, fresh, table, written
+from .shared import bounded, discard, fresh, table, tidy, written
 from .shingles import mix, shingle_sets
 
 PERCENT = 75
@@ -241,11 +241,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     wanted = pairs.select(F.col("ta").alias("_th")).unionByName(pairs.select(F.col("tb").alias("_th"))).distinct()
     wanted = written(wanted, "wanted")
     texts = docs.select("text", F.xxhash64("text").alias("_h")).join(bounded(wanted), F.col("_h") == F.col("_th"), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets, "key bigint, items binary").groupBy("key").agg(F.first("items").alias("items"))
+    sets = texts.mapInArrow(tidy(_sets), "key bigint, items binary").groupBy("key").agg(F.first("items").alias("items"))
     sets = written(sets, "sets")
     left = sets.select(F.col("key").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("key").alias("b"), F.col("items").alias("y"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a bigint, b bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(_linked(percent)), "a bigint, b bigint")
 
 
 def _allocated(classes: DataFrame) -> set[int]:
@@ -260,13 +260,13 @@ def _grouped(docs: DataFrame, doc_id: str, text: str, percent: int) -> DataFrame
     """(id, th, n, root, first): every row's group and its group's first (without id, id, th)."""
     body = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = body.schema["id"].dataType.simpleString()
-    rows = body.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(_describe(percent), f"id {kind}, {ROWS}")
+    rows = body.select("id", F.xxhash64("text").alias("th"), "text").mapInArrow(tidy(_describe(percent)), f"id {kind}, {ROWS}")
     rows = written(rows, "rows")
     also = ["n", "levels", "spare", "costs", "sketch"]
     classes = written(rows.filter("n > 0").groupBy("key").agg(F.min("th").alias("th"), *[F.first(c).alias(c) for c in also]), "classes")
     deep = _allocated(classes)
 
-    sigs = body.select("text").mapInArrow(_index(percent, deep), "sig bigint, key bigint")
+    sigs = body.select("text").mapInArrow(tidy(_index(percent, deep)), "sig bigint, key bigint")
     groups = written(shared_sigs(sigs), "groups")
 
     # Probes: all subsets of a set but the most frequent ones, as far as its slack goes; all signatures of neighbourhoods.
