@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cantera.functions import dates, extract, geo, text, urls
 from cantera.functions.geo import inside_polygons
 from cantera.functions.text import decode_entities
-from cantera.operators import aggregates, audit, dedup, graph, joins, lifecycle, links, pairs, selection, validation
+from cantera.operators import aggregates, audit, dedup, graph, joins, lifecycle, links, pairs, quality, selection, validation
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
 
@@ -211,6 +211,11 @@ def test_text_cuts(spark):
     assert [tuple(r) for r in tags] == [(["pizza", "local food", "x"], True), (None, False), ([], None)]
 
 
+def test_useful_values(spark):
+    df = spark.createDataFrame([("x", ["s"]), (" ", ["s"]), ("x", []), ("x", None), (None, ["s"])], "v string, s array<string>")
+    assert [r.u for r in df.select(quality.useful(F.col("v"), F.col("s")).alias("u")).collect()] == [True, False, False, False, False]
+
+
 def test_quoted_hours(spark):
     df = spark.createDataFrame([("09:00-14:30", "de 9:00 a 14:30"), ("09:00-14:30", "de 9:00"), ("10:00", "110:00")], "v string, q string")
     assert [r.x for r in df.select(extract.quoted_hours(F.col("v"), F.col("q")).alias("x")).collect()] == [True, False, False]
