@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
+from . import decontaminate, divergence, line_dedup, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": line_rules.op8_quality_rules,
     "op9_mix": mixing.op9_mix,
     "op10_secrets": secrets.op10_secrets,
+    "op11_divergence": divergence.op11_divergence,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op6_warc": warc.OP6_SQL,
     "op8_quality_rules": line_rules.OP8_SQL,
     "op10_secrets": secrets.OP10_SQL,
+    "op11_divergence": divergence.OP11_SQL,
 }
