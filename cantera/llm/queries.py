@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, divergence, line_dedup, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
+from . import conversations, decontaminate, divergence, line_dedup, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_mix": mixing.op9_mix,
     "op10_secrets": secrets.op10_secrets,
     "op11_divergence": divergence.op11_divergence,
+    "op12_conversation_repair": conversations.op12_conversation_repair,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op8_quality_rules": line_rules.OP8_SQL,
     "op10_secrets": secrets.OP10_SQL,
     "op11_divergence": divergence.OP11_SQL,
+    "op12_conversation_repair": conversations.OP12_SQL,
 }
