@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import conversations, decontaminate, divergence, line_dedup, line_rules, mixing, ngram_join, quality, secrets, sharding, token_counts, warc
+from . import conversations, decontaminate, divergence, line_dedup, line_rules, mixing, ngram_join, packing, quality, secrets, sharding, token_counts, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.op10_secrets,
     "op11_divergence": divergence.op11_divergence,
     "op12_conversation_repair": conversations.op12_conversation_repair,
+    "op13_packing": packing.op13_packing,
 }
 
 ORACLES = {
