@@ -177,7 +177,12 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 
 
 def grouped(runs: list[tuple[int, int]], groups: int) -> list[list[tuple[int, int, int]]]:
-    """Groups of equal cardinality of the (length, count) runs, longest first, as (length, rank, count); equal maxima are one group."""
+    """Groups of equal cardinality of the (length, count) runs, longest first, as (length, rank, count); equal maxima are one group.
+
+    As many lengths as groups, or fewer, need no rounding.
+    """
+    if len(runs) <= groups:
+        return [[(s, 0, n)] for s, n in runs]
     total = sum(n for _, n in runs)
     each, out, room = -(-total // groups), [], 0
     for s, n in runs:
