@@ -1,6 +1,6 @@
 """All queries over the reference tables, in the order in which they are registered."""
 
-from . import catalogue, discovery, evidence, extract, facts, named, reports, rules, site, texts  # noqa: F401  they register their queries
+from . import catalogue, discovery, evidence, extract, facts, named, nested, reports, rules, site, texts  # noqa: F401  they register their queries
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
