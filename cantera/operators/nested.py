@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: kind: string, number, boolean, null, array or object. text: of a scalar, or an object's string ``_ref``.
-#: type: an object's ``_type``. size, items, blanks: of a list, its length, the one kind of its items, and how many are blank texts.
-MEMBER = "struct<kind: string, text: string, type: string, size: int, items: string, blanks: int>"
-NODE = f"path string, place string, root_type string, parent string, pos int, depth int, type string, types array<string>, node_key string, members map<string, {MEMBER}>"
+#: type: an object's ``_type``. size, items, blanks, texts: of a list, its length, the one kind of its items, how many are blank texts, and its texts.
+MEMBER = "struct<kind: string, text: string, type: string, size: int, items: string, blanks: int, texts: array<string>>"
+NODE = f"path string, place string, root_type string, parent string, pos int, seq int, depth int, type string, types array<string>, node_key string, members map<string, {MEMBER}>"
 
-_MEMBER = pa.struct([("kind", pa.string()), ("text", pa.string()), ("type", pa.string()), ("size", pa.int32()), ("items", pa.string()), ("blanks", pa.int32())])
-_NODE = [("path", pa.string()), ("place", pa.string()), ("root_type", pa.string()), ("parent", pa.string()), ("pos", pa.int32()), ("depth", pa.int32()), ("type", pa.string()), ("types", pa.list_(pa.string())), ("node_key", pa.string()), ("members", pa.map_(pa.string(), _MEMBER))]
+_MEMBER = pa.struct([("kind", pa.string()), ("text", pa.string()), ("type", pa.string()), ("size", pa.int32()), ("items", pa.string()), ("blanks", pa.int32()), ("texts", pa.list_(pa.string()))])
+_NODE = [("path", pa.string()), ("place", pa.string()), ("root_type", pa.string()), ("parent", pa.string()), ("pos", pa.int32()), ("seq", pa.int32()), ("depth", pa.int32()), ("type", pa.string()), ("types", pa.list_(pa.string())), ("node_key", pa.string()), ("members", pa.map_(pa.string(), _MEMBER))]
 
 #: Rows of a batch that a task sends.
 ROWS = 4096
@@ -67,14 +67,14 @@ def _plain(value) -> str | None:
 def _member(value) -> tuple:
     """The fields of ``MEMBER``."""
     if type(value) is str:
-        return "string", value, None, None, None, None
+        return "string", value, None, None, None, None, None
     if isinstance(value, dict):
-        return "object", _plain(value.get("_ref")), _plain(value.get("_type")), None, None, None
+        return "object", _plain(value.get("_ref")), _plain(value.get("_type")), None, None, None, None
     if isinstance(value, list):
         kinds = {_kind(x) for x in value}
         items = kinds.pop() if len(kinds) == 1 else "mixed" if kinds else None
-        return "array", None, None, len(value), items, sum(type(x) is str and not x.strip() for x in value)
-    return _kind(value), _text(value), None, None, None, None
+        return "array", None, None, len(value), items, sum(type(x) is str and not x.strip() for x in value), [x for x in value if type(x) is str]
+    return _kind(value), _text(value), None, None, None, None, None
 
 
 def array_key(doc: str, path: str, pos: int) -> str:
@@ -85,6 +85,7 @@ def array_key(doc: str, path: str, pos: int) -> str:
 def walk(root, doc: str = "") -> Iterator[tuple]:
     """The fields of ``NODE`` of every object of a parsed value, parents first and in order; pos is its place in a list, else null."""
     stack = [(root, "", "", None, None, 0)]
+    seq = 0
     root_type = _plain(root.get("_type")) if isinstance(root, dict) else None
     while stack:
         value, path, where, parent, pos, depth = stack.pop()
@@ -97,7 +98,8 @@ def walk(root, doc: str = "") -> Iterator[tuple]:
                 key = _plain(value.get("_key"))
                 key = array_key(doc, path.rpartition("[")[0], pos) if key is None else key
             types = [str(t) for t in (named if isinstance(named, list) else [named]) if type(t) is str]
-            yield path, where, root_type, parent, pos, depth, _plain(kind), types, key, [(k, *_member(v)) for k, v in value.items()]
+            yield path, where, root_type, parent, pos, seq, depth, _plain(kind), types, key, [(k, *_member(v)) for k, v in value.items()]
+            seq += 1
             stack += [(v, f"{path}.{k}" if path else k, f"{where}.{k}" if where else k, path, None, depth + 1) for k, v in reversed(value.items()) if isinstance(v, (dict, list))]
 
 
@@ -105,7 +107,7 @@ def json_walk(df: DataFrame, column: str, doc: Column | None = None) -> DataFram
     """The rows of ``df`` without ``column``, once for every object in it, with the columns of ``NODE``.
 
     Paths read ``a.b[2].c``, places ``a.b[].c``; the root's are empty. ``parent`` is the object around an object,
-    through any lists. ``doc`` names a document in the keys of list items; they stay as they
+    through any lists, ``seq`` counts a document's objects from 0. ``doc`` names a document in the keys of list items; they stay as they
     are where an item has a ``_key``. A null gives no row, a text that isn't JSON one with a
     null path, a scalar or a list without objects none.
     """
@@ -126,7 +128,7 @@ def json_walk(df: DataFrame, column: str, doc: Column | None = None) -> DataFram
                 columns = [batch.column(k).take(pa.array(at, pa.int32())) for k in range(len(names))]
                 *plain, members = zip(*nodes, strict=True)
                 columns += [pa.array(values, t) for values, (_, t) in zip(plain, _NODE, strict=False)]
-                keys, *fields = zip(*[m for some in members if some for m in some], strict=True) if any(members) else [()] * 7
+                keys, *fields = zip(*[m for some in members if some for m in some], strict=True) if any(members) else [()] * 8
                 ends = np.cumsum([0, *[len(m or ()) for m in members]])
                 offsets = pa.array(ends.astype(np.int32), mask=np.array([*[m is None for m in members], False]))
                 columns.append(pa.MapArray.from_arrays(offsets, pa.array(keys, pa.string()), pa.StructArray.from_arrays([pa.array(v, f.type) for v, f in zip(fields, _MEMBER, strict=True)], fields=list(_MEMBER))))
@@ -163,7 +165,7 @@ def register(spark: SparkSession) -> None:
                     root = parsed(text)
                 except ValueError:
                     return
-                for path, _, _, _, _, depth, kind, _, key, members in walk(root, doc or ""):
+                for path, _, _, _, _, _, depth, kind, _, key, members in walk(root, doc or ""):
                     yield path, depth, kind, key, {m[0]: m[2] for m in members}
 
     spark.udtf.register("json_objects", F.udtf(JsonObjects, returnType="path string, depth int, type string, node_key string, members map<string, string>"))
