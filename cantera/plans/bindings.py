@@ -19,7 +19,7 @@ rel AS (SELECT t, u FROM (SELECT DISTINCT t FROM tw) JOIN (SELECT DISTINCT u FRO
 first AS (SELECT u, item_id FROM uw QUALIFY row_number() OVER (PARTITION BY u ORDER BY item_id) <= 8),
 word AS (SELECT t, item_id FROM (SELECT DISTINCT t, item_id FROM rel JOIN first USING (u)) QUALIFY row_number() OVER (PARTITION BY t ORDER BY item_id) <= 8),
 found AS (SELECT id, list(item_id ORDER BY item_id)[1:8] AS f FROM (SELECT DISTINCT id, item_id FROM tw JOIN word USING (t)) GROUP BY id),
-s AS (SELECT leaf.id, supported_by AS c, f, len(list_filter(supported_by, lambda x: x NOT IN (SELECT item_id FROM benchmark))) = 0 AS valid FROM leaf LEFT JOIN claim USING (id) LEFT JOIN found USING (id))
+s AS (SELECT leaf.id, supported_by AS c, f, list_has_all((SELECT list(item_id) FROM benchmark), supported_by) AS valid FROM leaf LEFT JOIN claim USING (id) LEFT JOIN found USING (id))
 SELECT id, array_to_string(CASE WHEN valid OR f IS NULL THEN c WHEN c IS NULL THEN f[1:6] ELSE f END, ',') AS supported_by,
   CASE WHEN valid THEN 'kept' WHEN c IS NULL AND f IS NOT NULL THEN 'completed' WHEN c IS NULL THEN 'unsupported' WHEN f IS NOT NULL THEN 'repaired' ELSE 'unmatched' END AS state FROM s
 """)
