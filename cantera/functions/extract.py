@@ -174,5 +174,5 @@ def tag_list(value: Column) -> Column:
 
 
 def tag_boolean(value: Column) -> Column:
-    """yes and only are true, no is false, anything else isn't known."""
-    return F.when(F.lower(value).isin("yes", "only"), True).when(F.lower(value) == "no", False)
+    """yes, true and only are true, no and false are false, anything else isn't known."""
+    return F.when(F.lower(value).isin("yes", "true", "only"), True).when(F.lower(value).isin("no", "false"), False)

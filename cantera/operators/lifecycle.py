@@ -47,9 +47,3 @@ def last_rows(df: DataFrame, order: str, n: int) -> DataFrame:
     """The newest ``n`` rows, as a log that drops its oldest."""
     return df.orderBy(F.desc(order)).limit(n)
 
-
-def stage_state(df: DataFrame, status: str, stage: str, stages: list[str], force: bool = False) -> DataFrame:
-    """Whether a stage may run: the one before is done, and it isn't done itself unless forced."""
-    k = stages.index(stage)
-    rank = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col(status))
-    return df.withColumn("can_run", (rank >= k) & (F.lit(force) | (rank <= k)))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def useful(value: Column, sources: Column) -> Column:
-    """A sourced value that isn't null or blank."""
-    return F.coalesce(F.size(sources) > 0, F.lit(False)) & F.coalesce(F.trim(value.cast("string")) != "", F.lit(False))
+    """A sourced value that isn't null, false, blank or an empty list."""
+    text, kind = value.cast("string"), F.typeof(value)
+    empty = (F.trim(text) == "") | ((kind == "boolean") & (text == "false")) | (F.startswith(kind, F.lit("array")) & (text == "[]"))
+    return F.coalesce(F.size(sources) > 0, F.lit(False)) & F.coalesce(~empty, F.lit(False))
 
 
 def tier(identity: Column, place: Column, distinctive: list[Column], what: Column, dimensions: list[Column], rich_at: int = 3) -> Column:

@@ -226,7 +226,7 @@ def link_findings(spark, t):
 
 @query(
     PARSED
-    + ", ".join(["", *[f"d_{f} AS (SELECT page_id, '{f}-duplicate' AS rule, n || ' ' || first AS detail FROM (SELECT page_id, count(*) OVER w AS n, min(route) OVER w AS first FROM parsed WHERE type = 'indexable' AND {f} IS NOT NULL WINDOW w AS (PARTITION BY host, {f})) WHERE n > 1)" for f in ("title", "description")]])
+    + ", ".join(["", *[f"d_{f} AS (SELECT page_id, '{f}-duplicate' AS rule, n || ' ' || array_to_string(list_filter(list_sort(first)[1:21], lambda r: r <> route)[1:20], ',') AS detail FROM (SELECT page_id, route, count(*) OVER w AS n, list(route) OVER w AS first FROM parsed WHERE type = 'indexable' AND {f} IS NOT NULL WINDOW w AS (PARTITION BY host, {f})) WHERE n > 1)" for f in ("title", "description")]])
     + " SELECT * FROM d_title UNION ALL SELECT * FROM d_description"
 )
 def duplicate_findings(spark, t):

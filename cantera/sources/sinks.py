@@ -9,29 +9,44 @@ from pyspark.sql import functions as F
 
 
 def _files(spark: SparkSession, path: str):
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    return hadoop.Path, hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    """A path's constructor, its file system's context, and renaming in one step that fails rather than say so."""
+    jvm = spark._jvm
+    name = jvm.org.apache.hadoop.fs.Path
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(name(path).toUri(), spark._jsc.hadoopConfiguration())
+    option = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(option, 1)
+    options[0] = option.NONE
+    return name, context, lambda a, b: context.rename(name(a), name(b), options)
 
 
 def replace_if(df: DataFrame, path: str, ok: bool) -> bool:
     """Replace a table if the run that made it is sound; else leave what is there.
 
-    The new table is written whole beside the old one and renamed into its place, so a write
-    that fails loses nothing.
+    The new table is written whole beside the old one and renamed into its place. If writing
+    or renaming fails, the old table is where it was, and the error is raised; the old one is
+    deleted only after the new one has its place.
     """
     if not ok:
         return False
-    aside, old = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}", f"{path.rstrip('/')}.old-{uuid.uuid4().hex}"
-    name, files = _files(df.sparkSession, path)
+    path = path.rstrip("/")
+    aside, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    name, files, rename = _files(df.sparkSession, path)
     try:
         df.write.parquet(aside)
+        there = files.util().exists(name(path))
+        if there:
+            rename(path, old)
+        try:
+            rename(aside, path)
+        except Exception:
+            if there:
+                rename(old, path)
+            raise
     except Exception:
         files.delete(name(aside), True)
         raise
-    if files.exists(name(path)):
-        files.rename(name(path), name(old))
-    files.rename(name(aside), name(path))
-    files.delete(name(old), True)
+    if there:
+        files.delete(name(old), True)
     return True
 
 
