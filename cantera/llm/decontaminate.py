@@ -200,8 +200,10 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: s
     """``docs`` with a struct column ``out``: words, hit word spans, items found, longest match.
 
     No shuffle of the documents: each block of items is broadcast (its words are bounded by
-    BLOCK_WORDS) and the texts stream past it.
+    BLOCK_WORDS) and the texts stream past it. A column of the name ``out`` is an error.
     """
+    if out.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"documents have a column {out}")
     sc = docs.sparkSession.sparkContext
     done: DataFrame = docs
     for k, automaton in enumerate(_blocks(items, item_id, item_text, window)):

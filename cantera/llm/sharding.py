@@ -15,6 +15,7 @@ rows are kept as they are, repeated ones and nulls included; columns may have an
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,6 +32,8 @@ FANOUT = 4
 ARRIVAL_ROWS = 10_000
 #: Shards whose sizes are accumulated by one task, about.
 PLAN_ROWS = 10_000
+#: Seconds after which data that no version names is nobody's.
+ORPHAN_AGE = 7 * 24 * 3600
 
 MANIFEST = "path string, rows bigint, bytes bigint, tier int"
 
@@ -150,8 +153,12 @@ def read(spark: SparkSession, root: str, version: int | None = None) -> DataFram
     return _open(spark, root, [r["path"] for r in manifest(spark, root, version).select("path").collect()])
 
 
-def vacuum(spark: SparkSession, root: str) -> int:
-    """Delete all versions but the last, and shards that it doesn't name; returns the files deleted."""
+def vacuum(spark: SparkSession, root: str, orphan_age: float = ORPHAN_AGE) -> int:
+    """Delete all versions but the last, and shards that it doesn't name; returns the files deleted.
+
+    Folders of data that no version names are those of writers that lost or died, or of one
+    that still writes; they go when nothing in them has changed for ``orphan_age`` seconds.
+    """
     jvm, files = _files(spark, root)
     path = jvm.org.apache.hadoop.fs.Path
     old = versions(spark, root)[:-1]
@@ -162,6 +169,16 @@ def vacuum(spark: SparkSession, root: str) -> int:
             gone += bool(files.delete(path(r["path"]), False))
     for v in old:
         files.delete(path(f"{root}/manifests/v{v:09d}"), True)
+    fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    data = path(f"{root}/data")
+    named = {r[0] for r in keep.select(F.element_at(F.split("path", "/"), -2)).distinct().collect()}  # a folder for each append or compaction
+    before = (time.time() - orphan_age) * 1000
+    for folder in fs.listStatus(data) if fs.exists(data) else []:
+        if folder.isDirectory() and folder.getPath().getName() not in named:
+            held = fs.listStatus(folder.getPath())
+            if max([folder.getModificationTime(), *[f.getModificationTime() for f in held]]) < before:
+                gone += sum(f.isFile() and f.getPath().getName().startswith("part-") for f in held)
+                fs.delete(folder.getPath(), True)
     return gone
 
 

@@ -15,7 +15,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from cantera.llm import conversations, divergence, packing
+from cantera.llm import conversations, decontaminate, divergence, packing, sharding
 from cantera.llm import queries as registry
 
 SF = "/root/testdata/sf0.001"
@@ -287,3 +287,25 @@ def test_packing_matches_brute_force(spark):
         assert at <= 2048
     assert len(bins) <= 1.03 * sum(r.length for r in got) / 2048 + 1
     assert packing.packed(docs.limit(0)).collect() == []
+
+
+# ---- earlier operators
+
+
+def test_leaks_keep_the_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "mine")], "doc_id int, text string, Leak string")
+    items = spark.createDataFrame([(1, "a b")], "item_id int, text string")
+    with pytest.raises(ValueError, match="leak"):
+        decontaminate.find_leaks(docs, items)
+    (row,) = decontaminate.find_leaks(docs, items, out="found").collect()
+    assert (row.Leak, row.found.spans) == ("mine", [0, 2])
+
+
+def test_vacuum_takes_data_of_dead_writers(spark, tmp_path):
+    root = f"file://{tmp_path}/shards"
+    df = spark.createDataFrame([(k, "x") for k in range(20)], "id int, t string")
+    sharding.append(df, root)
+    df.coalesce(1).write.parquet(f"{root}/data/dead")
+    assert sharding.vacuum(spark, root) == 0 and (tmp_path / "shards/data/dead").exists()
+    assert sharding.vacuum(spark, root, -1) == 1 and not (tmp_path / "shards/data/dead").exists()
+    assert sorted(r.id for r in sharding.read(spark, root).collect()) == list(range(20))
