@@ -287,8 +287,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = pages.schema["page_id"].dataType
     path = scratch(spark, "warc")
     write_archives(pages, path)
-    # Of responses, length and digest are taken from the payload that was read back.
-    rows = read_archives(spark, path)
+    # One read for each type: the predicate on the type is pushed down, and no payload is read for revisits. Of responses,
+    # length and digest are taken from the payload that was read back.
+    rows = read_archives(spark, path).where("record_type = 'response'").unionByName(read_archives(spark, path, payload=False).where("record_type = 'revisit'"))
     return rows.select(
         F.col("page").cast(kind).alias("page_id"),
         F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
