@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -10,22 +11,46 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _base(c: str) -> str:
+    return "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+
+
 @lru_cache(maxsize=1)
 def _letters() -> tuple[str, str]:
     """Characters whose compatibility form is one ASCII letter or digit and marks, and that form."""
     src, dst = [], []
-    for c in map(chr, range(128, 0x10000)):
-        base = "".join(x for x in unicodedata.normalize("NFKD", c) if not 0x300 <= ord(x) <= 0x36F)
+    for c in map(chr, range(128, 0x20000)):
+        base = _base(c)
         if len(base) == 1 and base.isascii() and base.isalnum():
             src.append(c)
             dst.append(base)
     return "".join(src), "".join(dst)
 
 
+@lru_cache(maxsize=1)
+def _ligatures() -> tuple[str, str]:
+    """A class of the characters whose compatibility form is several, with ASCII letters or digits, and a JSON object of their forms."""
+    forms = {c: base for c in map(chr, range(128, 0x20000)) if len(base := _base(c)) > 1 and any(x.isascii() and x.isalnum() for x in base)}
+    ranges: list[list[int]] = []
+    for o in sorted(map(ord, forms)):
+        if ranges and ranges[-1][1] == o - 1:
+            ranges[-1][1] = o
+        else:
+            ranges.append([o, o])
+    return "[" + "".join(rf"\x{{{lo:x}}}-\x{{{hi:x}}}" for lo, hi in ranges) + "]", json.dumps(forms, ensure_ascii=False)
+
+
 def strip_marks(text: Column) -> Column:
-    """Accented Latin letters without their marks; composed or not."""
-    bare = F.translate(F.regexp_replace(text, r"[̀-ͯ]", ""), *_letters())
-    return F.when(text.rlike(r"[^\x00-\x7F]"), bare).otherwise(text)
+    """Letters without their marks, composed or not, and compatibility forms as what they stand for; ASCII texts as they are.
+
+    A character that stands for several (a ligature, a fraction, a unit) is replaced once
+    for each that a text has; texts without any pay for one test.
+    """
+    pattern, forms = _ligatures()
+    known = F.from_json(F.lit(forms), "map<string,string>")
+    spelled = F.aggregate(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), 0)), text, lambda out, c: F.replace(out, c, known[c]))
+    bare = lambda t: F.translate(F.regexp_replace(t, r"[\u0300-\u036f]", ""), *_letters())
+    return F.when(~text.rlike(r"[^\x00-\x7F]"), text).when(text.rlike(pattern), bare(spelled)).otherwise(bare(text))
 
 
 def once(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -34,10 +59,7 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def fold(text: Column) -> Column:
-    """Lower-case words of a-z and 0-9, one space between them.
-
-    Characters whose compatibility form is several letters count as separators.
-    """
+    """Lower-case words of a-z and 0-9 of the compatibility decomposition, one space between them."""
     return F.trim(F.regexp_replace(F.lower(strip_marks(text)), "[^a-z0-9]+", " "))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantera.functions.text import fold, html_to_text, tokens
@@ -115,3 +116,13 @@ FROM u
 def canonical_urls(spark, t):
     u = F.col("url")
     return t("pages").select("page_id", canonical_url(u).alias("canonical"), host(u).alias("host"), source_key(u).alias("source_key"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, lang, source, regexp_extract(text, '[A-Za-zÀ-ÿ]+', 0) AS title FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL)
+SELECT doc_id, lang, source, title, row_number() OVER (PARTITION BY lang, source ORDER BY title COLLATE es, title, doc_id)::INT AS place FROM d WHERE title <> ''
+""")
+def hub_listing(spark, t):
+    """Every document's place in the listing of its language and source, by its first word in Spanish order (ñ after n, accents apart)."""
+    docs = t("documents").where("lang IS NOT NULL AND source IS NOT NULL").select("doc_id", "lang", "source", F.regexp_extract("text", r"[A-Za-zÀ-ÿ]+", 0).alias("title")).where("title <> ''")
+    return docs.withColumn("place", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.collate("title", "es"), "title", "doc_id")))
