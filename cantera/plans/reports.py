@@ -67,11 +67,16 @@ LONG = "list_filter(string_split(trim(regexp_replace(lower(strip_accents({0})),
 
 
 @query(f"""
-SELECT a.k, a.dimension, a.text AS a_text, b.text AS b_text FROM {_values(MANUAL, 'k, dimension, text')} a JOIN {_values(PUBLIC, 'k, dimension, text')} b USING (k, dimension)
+SELECT a.k, a.dimension, a.text AS a_text, b.text AS b_text FROM (SELECT * FROM {_values(MANUAL, 'k, dimension, text')} UNION ALL SELECT 'p' || l_partkey, l_linestatus, 'Con ' || p_name || ' de ' || p_type FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_returnflag = 'R') a
+JOIN (SELECT * FROM {_values(PUBLIC, 'k, dimension, text')} UNION ALL SELECT 'p' || p_partkey, CASE WHEN p_size > 25 THEN 'O' ELSE 'F' END, CASE WHEN p_retailprice > 930 THEN 'No hay ' ELSE 'Hay ' END || p_name FROM part) b USING (k, dimension)
 WHERE regexp_matches(a.text, '{NEGATED}') <> regexp_matches(b.text, '{NEGATED}') AND list_has_any({LONG.format('a.text')}, {LONG.format('b.text')})
 """)
 def source_conflicts(spark, t):
     a, b = (spark.createDataFrame(rows, "k string, dimension string, text string") for rows in (MANUAL, PUBLIC))
+    part = t("part").withColumn("k", F.concat(F.lit("p"), "p_partkey"))
+    lines = t("lineitem").where("l_returnflag = 'R'").join(part, F.col("l_partkey") == F.col("p_partkey"))
+    a = a.unionByName(lines.select("k", F.col("l_linestatus").alias("dimension"), F.concat(F.lit("Con "), "p_name", F.lit(" de "), "p_type").alias("text")))
+    b = b.unionByName(part.select("k", F.when(F.col("p_size") > 25, "O").otherwise("F").alias("dimension"), F.concat(F.when(F.col("p_retailprice") > 930, "No hay ").otherwise("Hay "), "p_name").alias("text")))
     return reports.conflict_pairs(a, b, ["k", "dimension"], "text", NEGATED)
 
 

@@ -64,14 +64,17 @@ CODE, SHORT = "lower(trim(coalesce(code, '')))", "lower(trim(coalesce(short, '')
 
 
 @query(rf"""
-WITH f AS (SELECT id::INT AS id, {CODE} AS c, {SHORT} AS s FROM {_values(FILES, "id, code, short")}),
+WITH f AS (SELECT id::BIGINT AS id, {CODE} AS c, {SHORT} AS s FROM (SELECT id, code, short FROM {_values(FILES, "id, code, short")} UNION ALL SELECT p_partkey + 1000, CASE WHEN p_type = 'LARGE' THEN 'CC-BY-SA-' || p_size // 10 || '.0' WHEN p_type = 'SMALL' THEN 'cc-by-nc-3.0' END, CASE WHEN p_type = 'PROMO' THEN 'CC BY ' || p_size // 10 || '.' || p_size % 10 WHEN p_type = 'ECONOMY' THEN p_name END FROM part)),
 k AS (SELECT *, CASE WHEN regexp_matches(c, '^cc-(by(?:-sa)?)-(\d\.\d)(?:-[a-z]{{2,}})?$') THEN regexp_extract(c, '^cc-by(?:-sa)?-\d\.\d') WHEN regexp_matches(s, '^cc (by(?:-sa)?) (\d\.\d)(?: [a-z]{{2,}})?$') THEN 'cc-' || regexp_extract(s, '^cc (by(?:-sa)?) ', 1) || '-' || regexp_extract(s, '\d\.\d') END AS cc FROM f),
 m AS (SELECT *, CASE WHEN c = 'cc0' OR s = 'cc0' THEN 'cc0' WHEN c = 'pd' OR starts_with(c, 'pd-') OR starts_with(s, 'public domain') OR s = 'dominio público' THEN 'public-domain' WHEN cc IN ({', '.join(repr(x) for x in validation.LICENCES)}) THEN cc END AS found,
   regexp_matches(c || ' ' || s, '\b(?:nc|nd)\b|-nc\b|-nd\b|noncommercial|noderivs') AS limited FROM k)
 SELECT id, CASE WHEN c = '' AND s = '' THEN NULL WHEN limited THEN NULL ELSE found END AS licence, CASE WHEN c = '' AND s = '' THEN 'none' WHEN limited THEN 'limited' WHEN found IS NULL THEN 'unknown' END AS reason FROM m
 """)
 def image_licences(spark, t):
-    f = spark.createDataFrame(FILES, "id int, code string, short string")
+    tens, kind = (F.col("p_size") / 10).cast("int"), F.col("p_type")
+    code = F.when(kind == "LARGE", F.concat(F.lit("CC-BY-SA-"), tens, F.lit(".0"))).when(kind == "SMALL", "cc-by-nc-3.0")
+    short = F.when(kind == "PROMO", F.concat(F.lit("CC BY "), tens, F.lit("."), F.col("p_size") % 10)).when(kind == "ECONOMY", F.col("p_name"))
+    f = spark.createDataFrame(FILES, "id bigint, code string, short string").unionByName(t("part").select((F.col("p_partkey") + 1000).alias("id"), code.alias("code"), short.alias("short")))
     return f.select("id", validation.licence(F.col("code"), F.col("short")).alias("l")).select("id", F.col("l.id").alias("licence"), "l.reason")
 
 
@@ -82,6 +85,9 @@ APPROVALS = [
     (4, "Ana", "2026-01-02", "Mesa", "en benidormo", False, "ambiental", "guide", None),
     (5, "Ana", None, "Mesa", None, True, "ambiental", "guide", "otra"),
 ]
+# An approval for each order, as its attributes have it.
+APPROVED_SQL = """SELECT o_orderkey + 10, CASE WHEN o_orderstatus <> 'P' THEN 'Ana' END, CASE WHEN o_totalprice > 100000 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE '1-1-2020' END, CASE WHEN o_orderpriority = '5-LOW' THEN '' ELSE 'Vista ' || o_orderpriority END, CASE WHEN o_custkey % 5 = 0 THEN 'en Calpe' END,
+  CASE o_orderstatus WHEN 'O' THEN true WHEN 'F' THEN false END, CASE WHEN o_custkey % 3 = 0 THEN 'ambiental' ELSE 'lugar' END, CASE WHEN o_custkey % 7 = 0 THEN 'business' ELSE 'guide' END, 'vista  ' || CASE WHEN o_custkey % 2 = 0 THEN o_orderpriority ELSE 'otra' END FROM orders"""
 F0 = "trim(regexp_replace(lower(strip_accents({0})), '[^a-z0-9]+', ' ', 'g'))"
 ATESTS = {
     "business": "kind = 'business'",
@@ -95,10 +101,16 @@ ATESTS = {
 }
 
 
-@query(f"WITH a AS (SELECT id::INT AS id, who, day, alt, caption, verified, use, kind, description FROM {_values(APPROVALS, 'id, who, day, alt, caption, verified, use, kind, description')}) " + " UNION ALL ".join(f"SELECT id, '{c}' AS code FROM a WHERE {x}" for c, x in ATESTS.items()))
+@query(f"WITH a AS (SELECT id::BIGINT AS id, who, day, alt, caption, verified, use, kind, description FROM {_values(APPROVALS, 'id, who, day, alt, caption, verified, use, kind, description')} UNION ALL {APPROVED_SQL}) " + " UNION ALL ".join(f"SELECT id, '{c}' AS code FROM a WHERE {x}" for c, x in ATESTS.items()))
 def image_approvals(spark, t):
-    a = spark.createDataFrame(APPROVALS, "id int, who string, day string, alt string, caption string, verified boolean, use string, kind string, description string")
     c = F.col
+    a = spark.createDataFrame(APPROVALS, "id bigint, who string, day string, alt string, caption string, verified boolean, use string, kind string, description string")
+    key, level = c("o_custkey"), c("o_orderpriority")
+    orders = t("orders").select(
+        (c("o_orderkey") + 10).alias("id"), F.when(c("o_orderstatus") != "P", "Ana").alias("who"), F.when(c("o_totalprice") > 100000, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("1-1-2020").alias("day"), F.when(level == "5-LOW", "").otherwise(F.concat(F.lit("Vista "), level)).alias("alt"), F.when(key % 5 == 0, "en Calpe").alias("caption"),
+        F.when(c("o_orderstatus") == "O", True).when(c("o_orderstatus") == "F", False).alias("verified"), F.when(key % 3 == 0, "ambiental").otherwise("lugar").alias("use"), F.when(key % 7 == 0, "business").otherwise("guide").alias("kind"), F.concat(F.lit("vista  "), F.when(key % 2 == 0, level).otherwise("otra")).alias("description"),
+    )
+    a = a.unionByName(orders)
     return quality.issues(a, "id", validation.approval_rules(c("who"), c("day"), c("alt"), c("caption"), c("verified"), c("use"), c("kind"), c("description"), ["Benidorm", "Calpe"]))
 
 
@@ -169,13 +181,17 @@ FEATURED = [(1, 1.2), (3, 3.0), (4, 5.0), (4, 5.0)]
 
 
 @query(rf"""
-WITH t AS (SELECT doc::INT AS doc, text FROM {_values(SAID, "doc, text")}), f AS (SELECT doc::INT AS doc, price::DOUBLE AS price FROM {_values(FEATURED, "doc, price")}),
+WITH t AS (SELECT doc::BIGINT AS doc, text FROM {_values(SAID, "doc, text")} UNION ALL SELECT l_orderkey + 10, 'Son ' || l_quantity::INT || ' € y ' || l_quantity::INT || ',00€ de ' || (l_linenumber + 8) || ':00 - 18:30' FROM lineitem), f AS (SELECT doc::BIGINT AS doc, price::DOUBLE AS price FROM {_values(FEATURED, "doc, price")} UNION ALL SELECT o_orderkey + 10, o_custkey % 50 FROM orders),
 u AS (SELECT doc, 'price' AS kind, printf('%.2f', replace(p, ',', '.')::DOUBLE) AS value, 1 AS w FROM (SELECT doc, unnest(regexp_extract_all(text, '\b(\d{{1,3}}(?:[.,]\d{{1,2}})?)\s*€', 1)) AS p FROM t) UNION ALL SELECT doc, 'price', printf('%.2f', price), 2 FROM f
   UNION ALL SELECT doc, 'hours', regexp_replace(h, '\s*[–-]\s*', '–'), 1 FROM (SELECT doc, unnest(regexp_extract_all(text, '\b\d{{1,2}}:\d{{2}}\s*[–-]\s*\d{{1,2}}:\d{{2}}\b')) AS h FROM t))
 SELECT doc, kind, value, sum(w)::BIGINT AS n FROM u GROUP BY 1, 2, 3 HAVING sum(w) > 2
 """)
 def repeated_facts(spark, t):
-    return validation.repetitions(spark.createDataFrame(SAID, "doc int, text string"), spark.createDataFrame(FEATURED, "doc int, price double"))
+    n = F.col("l_quantity").cast("int")
+    said = F.concat(F.lit("Son "), n, F.lit(" € y "), n, F.lit(",00€ de "), F.col("l_linenumber") + 8, F.lit(":00 - 18:30"))
+    lines = spark.createDataFrame(SAID, "doc bigint, text string").unionByName(t("lineitem").select((F.col("l_orderkey") + 10).alias("doc"), said.alias("text")))
+    featured = spark.createDataFrame(FEATURED, "doc bigint, price double").unionByName(t("orders").select((F.col("o_orderkey") + 10).alias("doc"), (F.col("o_custkey") % 50).cast("double").alias("price")))
+    return validation.repetitions(lines, featured)
 
 
 @query("""
