@@ -274,8 +274,11 @@ GRAPH = [
     ("/restaurantes/f/", "indexable", "/donde-comer/,/restaurantes/a/", 5, None, ""),
     ("/guias/x/", "indexable", "/restaurantes/a/", 0, None, None),
 ]
+# A page for each part, and a hub for each brand and size; pages of even size link to their hub, hubs to none.
+PART_GRAPH = """SELECT '/restaurantes/p' || p_partkey || '/', CASE WHEN p_type = 'PROMO' THEN 'noindex' ELSE 'indexable' END, CASE WHEN p_size % 2 = 0 THEN '/donde-comer/' || replace(p_brand, '#', '-') || '-' || p_size || '/' ELSE '' END, p_size % 4, CASE WHEN p_type = 'PROMO' THEN CASE WHEN p_retailprice > 930 THEN 'demo' ELSE 'few-links' END END, p_brand || '/' || p_size FROM part
+  UNION ALL SELECT DISTINCT '/donde-comer/' || replace(p_brand, '#', '-') || '-' || p_size || '/', 'indexable', '', 1, NULL, NULL FROM part"""
 NODES = f"""
-WITH g AS (SELECT route, type, string_split(outgoing, ',') AS outgoing, contextual, string_split(reasons, ',') AS reasons, nullif(zone, '') AS zone FROM {_values(GRAPH, "route, type, outgoing, contextual, reasons, zone")}),
+WITH g AS (SELECT route, type, string_split(outgoing, ',') AS outgoing, contextual, string_split(reasons, ',') AS reasons, nullif(zone, '') AS zone FROM (SELECT * FROM {_values(GRAPH, "route, type, outgoing, contextual, reasons, zone")} UNION ALL {PART_GRAPH})),
 n AS (SELECT *, CASE WHEN route = '/' THEN 'home' WHEN regexp_matches(route, '^/donde-comer/(?:[^/]+/)?$') THEN 'hub' WHEN regexp_matches(route, '^/restaurantes/[^/]+/$') THEN 'ficha' WHEN regexp_matches(route, '^/guias/[^/]+/$') THEN 'guia' ELSE 'other' END AS kind FROM g),
 ok AS (SELECT * FROM n WHERE type = 'indexable' OR (type = 'noindex' AND len(list_filter(reasons, lambda r: r NOT IN ('few-links', 'links-unknown'))) = 0 AND len(reasons) > 0)),
 e AS (SELECT DISTINCT route AS src, unnest(outgoing) AS dst FROM ok),
@@ -286,8 +289,16 @@ c AS (SELECT hub AS src, ficha AS dst, 0 AS rank, ficha AS detail FROM h UNION A
 """
 
 
-def _graph(spark):
+def _graph(spark, t):
     g = spark.createDataFrame(GRAPH, "route string, type string, outgoing string, contextual bigint, reasons string, zone string")
+    part, lit, promo = t("part"), F.lit, F.col("p_type") == "PROMO"
+    hub = F.concat(lit("/donde-comer/"), F.replace("p_brand", lit("#"), lit("-")), lit("-"), "p_size", lit("/"))
+    pages = part.select(
+        F.concat(lit("/restaurantes/p"), "p_partkey", lit("/")).alias("route"), F.when(promo, "noindex").otherwise("indexable").alias("type"), F.when(F.col("p_size") % 2 == 0, hub).otherwise("").alias("outgoing"), (F.col("p_size") % 4).cast("long").alias("contextual"),
+        F.when(promo, F.when(F.col("p_retailprice") > 930, "demo").otherwise("few-links")).alias("reasons"), F.concat("p_brand", lit("/"), "p_size").alias("zone"),
+    )
+    hubs = part.select(hub.alias("route"), lit("indexable").alias("type"), lit("").alias("outgoing"), lit(1).cast("long").alias("contextual"), lit(None).cast("string").alias("reasons"), lit(None).cast("string").alias("zone")).distinct()
+    g = g.unionByName(pages).unionByName(hubs)
     return g.select("route", "type", F.split("outgoing", ",").alias("outgoing"), "contextual", F.split("reasons", ",").alias("reasons"), "zone")
 
 
@@ -297,10 +308,10 @@ def _graph(spark):
 FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.src = c.src AND e.dst = c.dst) GROUP BY src, dst"""
 )
 def link_proposals(spark, t):
-    return links.proposals(_graph(spark))
+    return links.proposals(_graph(spark, t))
 
 
 @query(NODES + "SELECT route, kind, route IN (SELECT route FROM ok) AS linkable FROM n")
 def route_kinds(spark, t):
-    g = _graph(spark)
+    g = _graph(spark, t)
     return g.select("route", links.route_kind(F.col("route")).alias("kind"), links.linkable(F.col("type"), F.col("reasons")).alias("linkable"))
