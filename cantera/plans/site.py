@@ -7,6 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from cantera.operators import audit, links
+from cantera.sources.store import stored
 
 from .registry import query
 
@@ -139,6 +140,11 @@ def _site(spark, t):
     return audit.parse(t("pages").select("page_id", "url", "html").unionByName(extra))
 
 
+def _parsed(spark, t):
+    """The parse of all pages, written by a first pass; the queries that look at links and pages read it again."""
+    return stored(_site(spark, t), "pages")
+
+
 @query(
     PARSED
     + """SELECT page_id, host, route, type, redirect_to, title, description, canonical, n_h1, h1, len(imgs)::BIGINT AS n_images, len(jsonld)::BIGINT AS n_jsonld, reviewed, sourced,
@@ -152,7 +158,7 @@ def page_parse(spark, t):
 
 @query(PARSED + "SELECT page_id, zone, target, to_id, to_route, to_type FROM li")
 def internal_links(spark, t):
-    return audit.resolved_links(_site(spark, t)).select("page_id", "zone", "target", "to_id", "to_route", "to_type")
+    return audit.resolved_links(_parsed(spark, t)).select("page_id", "zone", "target", "to_id", "to_route", "to_type")
 
 
 @query(PARSED + "SELECT host, target, count(DISTINCT page_id) AS n_sources, count(*) AS n_links FROM (SELECT page_id, host, route, %s AS target FROM li0) WHERE target IS NOT NULL AND target <> route GROUP BY 1, 2" % _target("l.href"))
@@ -163,13 +169,13 @@ def link_graph(spark, t):
 
 @query(PARSED + "SELECT page_id, incoming, contextual FROM deg")
 def contextual_in_degree(spark, t):
-    p = _site(spark, t)
+    p = _parsed(spark, t)
     return audit.in_degrees(p, audit.resolved_links(p))
 
 
 @query(PARSED + WHY + "SELECT page_id, array_to_string(why, ',') AS reasons, len(why) = 0 AS indexable FROM why WHERE why IS NOT NULL")
 def indexability(spark, t):
-    p = _site(spark, t)
+    p = _parsed(spark, t)
     d = audit.in_degrees(p, audit.resolved_links(p))
     p = p.filter("signals is not null and type <> 'redirect'").join(d, "page_id")
     why = audit.reasons(F.col("signals"), F.col("route"), F.col("title"), F.col("h1"), F.col("contextual"))
@@ -212,7 +218,7 @@ FINDINGS = " UNION ALL ".join(
 
 @query(PARSED + WHY + FINDINGS)
 def page_audit(spark, t):
-    p = _site(spark, t)
+    p = _parsed(spark, t)
     return audit.page_findings(p, audit.in_degrees(p, audit.resolved_links(p)))
 
 
@@ -221,7 +227,7 @@ LINKED = "SELECT DISTINCT page_id, CASE WHEN to_id IS NULL THEN 'broken-link' EL
 
 @query(PARSED + LINKED)
 def link_findings(spark, t):
-    return audit.link_findings(audit.resolved_links(_site(spark, t)))
+    return audit.link_findings(audit.resolved_links(_parsed(spark, t)))
 
 
 @query(
@@ -230,7 +236,7 @@ def link_findings(spark, t):
     + " SELECT * FROM d_title UNION ALL SELECT * FROM d_description"
 )
 def duplicate_findings(spark, t):
-    p = _site(spark, t)
+    p = _parsed(spark, t)
     return audit.duplicate_findings(p, "title").unionByName(audit.duplicate_findings(p, "description"))
 
 
@@ -246,7 +252,7 @@ SELECT l.host, l.route, 'sitemap-noindex' AS rule, coalesce(type, '404') AS deta
 UNION ALL SELECT host, route, 'sitemap-missing-indexable', type FROM u ANTI JOIN listed USING (host, route) WHERE type = 'indexable'"""
 )
 def sitemap_pages(spark, t):
-    p = _site(spark, t)
+    p = _parsed(spark, t)
     listed = p.filter("scheme = 'https' and page_id >= 0").select("host", "route").unionByName(spark.createDataFrame(LISTED, "host string, route string"))
     return audit.sitemap_findings(listed, p)
 
@@ -256,7 +262,7 @@ def sitemap_pages(spark, t):
     + f""", f AS ({LINKED}), base AS (SELECT rule, zone, detail FROM f WHERE zone = 'menu') SELECT page_id, rule, zone, detail FROM f ANTI JOIN base USING (rule, zone, detail)"""
 )
 def findings_diff(spark, t):
-    f = audit.link_findings(audit.resolved_links(_site(spark, t)))
+    f = audit.link_findings(audit.resolved_links(_parsed(spark, t)))
     return audit.new_findings(f, f.filter("zone = 'menu'"), ["rule", "zone", "detail"])
 
 

@@ -176,3 +176,19 @@ def test_windowed_log_counts(spark, tmp_path):
     q = runs.phase_counts(logs).writeStream.format("memory").queryName("log_counts").outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted((r.level, r.n) for r in spark.table("log_counts").collect()) == [("error", 1), ("info", 2)]
+
+
+def test_stored_frames_are_computed_once(spark):
+    from cantera.sources.store import shared_folder, stored
+
+    n = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            n.add(b.num_rows)
+            yield b
+
+    df = stored(spark.range(50).mapInArrow(count, "id bigint"), "once")
+    assert (df.count(), df.where("id > 10").count(), n.value) == (50, 39, 50)
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert [f.dataType.simpleString() for f in df.schema] == ["bigint"]
