@@ -67,10 +67,13 @@ class Reader(HTMLParser):
         for _, c in self.collecting:
             if tag == "a":
                 c.links.append(e.get("href"))
+        self.started += 1
         if tag in VOID:
+            if self.wanted(e):
+                e.text = []
+                self.closed(self.started, e)
             return
         self.stack.append(e)
-        self.started += 1
         if tag in self.named and any(tag not in c.named for _, c in self.collecting) or HEADING.fullmatch(tag):
             parts: list[str] = []
             self.reading.append((e, parts))
