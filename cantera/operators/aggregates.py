@@ -45,3 +45,25 @@ def top_per_group(counts: DataFrame, group: str, n: str, name: str, k: int) -> D
 def facet(df: DataFrame, column: str) -> DataFrame:
     """Distinct values of a column, sorted, as rows (facet, value)."""
     return df.filter(F.col(column).isNotNull()).select(F.lit(column).alias("facet"), F.col(column).cast("string").alias("value")).distinct()
+
+
+def map_totals(df: DataFrame, group: list[str], maps: dict[str, list[str] | None]) -> DataFrame:
+    """One row a group: for each map column the sums by key, keys in order; keys of a given domain are there with 0, others are summed too.
+
+    All maps are exploded together and summed in one aggregation, which combines before its
+    shuffle; groups without entries have their domains' zeros. Null maps and values count as 0.
+    """
+    entry = lambda name: F.transform(F.map_entries(F.coalesce(F.col(name), F.create_map().cast("map<string,double>")).cast("map<string,double>")), lambda e: F.struct(F.lit(name).alias("name"), e["key"].alias("key"), F.coalesce(e["value"], F.lit(0.0)).alias("value")))
+    zeros = lambda name, domain: F.array(*[F.struct(F.lit(name).alias("name"), F.lit(k).alias("key"), F.lit(0.0).alias("value")) for k in domain])
+    parts = [entry(m) for m in maps] + [zeros(m, d) for m, d in maps.items() if d] + [F.array(F.struct(F.lit("").alias("name"), F.lit("").alias("key"), F.lit(0.0).alias("value")))]
+    rows = df.select(*group, F.explode(F.concat(*parts)).alias("_e")).groupBy(*group, "_e.name", "_e.key").agg(F.sum("_e.value").alias("_n"))
+    lists = rows.groupBy(*group).agg(*[F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("name") == m, F.struct("key", F.col("_n")))))).alias(m) for m in maps])
+    return lists
+
+
+def first_nonzero(*counts: Column) -> Column:
+    """The first count that isn't 0 or null; else 0."""
+    out = F.lit(0)
+    for c in reversed(counts):
+        out = F.when(F.coalesce(c, F.lit(0)) != 0, c).otherwise(out)
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cantera.functions.urls import domains, host
-from cantera.operators import classify, lifecycle, quality
+from cantera.operators import aggregates, classify, lifecycle, quality
 from cantera.sources import sinks
 
 from .registry import query
@@ -213,3 +213,19 @@ def tile_counts(spark, t):
     row, col = F.floor((F.col("lat") - 38.5) / 0.025), F.floor((F.col("lng") + 0.2) / 0.025)
     counts = p.filter(F.col("lat").between(38.5, 38.6) & F.col("lng").between(-0.2, -0.1)).groupBy((row * 4 + col).alias("tile")).agg(F.count("*").alias("n"))
     return grid.select("tile").join(counts, "tile", "left").select("tile", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("""
+WITH d AS (SELECT user_id, event_type, value, json_extract_string(props, '$.k')::INT AS k FROM events),
+u AS (SELECT DISTINCT user_id FROM d), f AS (SELECT unnest(['click', 'error', 'none']) AS key),
+a AS (SELECT user_id, key, sum(n) AS n FROM (SELECT user_id, event_type AS key, 1 AS n FROM d UNION ALL SELECT user_id, key, 0 FROM u, f) GROUP BY 1, 2),
+b AS (SELECT user_id, CASE WHEN k < 50 THEN 'low' ELSE 'high' END AS key, sum(round(value)) AS n FROM d GROUP BY 1, 2)
+SELECT u.user_id, (SELECT string_agg(key || '=' || n::INT, ',' ORDER BY key) FROM a WHERE a.user_id = u.user_id) AS by_type, (SELECT string_agg(key || '=' || n::INT, ',' ORDER BY key) FROM b WHERE b.user_id = u.user_id) AS by_level FROM u
+""")
+def map_totals(spark, t):
+    """Events and their values by user, as totals of two maps a row."""
+    level = F.when(F.get_json_object("props", "$.k").cast("int") < 50, "low").otherwise("high")
+    rows = t("events").select("user_id", F.create_map("event_type", F.lit(1.0)).alias("by_type"), F.create_map(level, F.round("value")).alias("by_level"))
+    found = aggregates.map_totals(rows, ["user_id"], {"by_type": ["click", "error", "none"], "by_level": None})
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("int"))), ",")
+    return found.select("user_id", text("by_type").alias("by_type"), text("by_level").alias("by_level"))
