@@ -224,3 +224,11 @@ def test_quoted_hours(spark):
 def test_no_present_time_in_semantics():
     for p in (ROOT / "cantera").rglob("*.py"):
         assert "current_timestamp" not in p.read_text() and "current_date" not in p.read_text(), p
+
+
+def test_totals_of_maps(spark):
+    rows = [("a", {"x": 1.0, "y": None}, {"p": 2}), ("a", {"x": 2.0}, None), ("b", None, None), (None, {"z": 1.0}, {"p": 1})]
+    df = spark.createDataFrame(rows, "g string, m map<string,double>, n map<string,int>")
+    got = {r.g: (r.m, r.n) for r in aggregates.map_totals(df, ["g"], {"m": ["x", "w"], "n": None}).collect()}
+    assert got == {"a": ({"x": 3.0, "y": 0.0, "w": 0.0}, {"p": 2.0}), "b": ({"x": 0.0, "w": 0.0}, {}), None: ({"x": 0.0, "w": 0.0, "z": 1.0}, {"p": 1.0})}
+    assert [tuple(r) for r in spark.createDataFrame([(0, 3), (2, 3), (None, None)], "a int, b int").select(aggregates.first_nonzero(F.col("a"), F.col("b"))).collect()] == [(3,), (2,), (0,)]

@@ -161,12 +161,31 @@ def test_issues_and_outcome(spark):
 def test_upsert_stream(spark, tmp_path):
     landing, root = str(tmp_path / "in"), str(tmp_path / "out")
     part = lambda rows: spark.createDataFrame(rows, "k string, ts int").coalesce(1).write.mode("append").parquet(landing)
-    stream = lambda: runs.upsert_stream(runs.landed(spark, landing, "k string, ts int", 1), root, "k", "ts", "string", "int")
+    stream = lambda: runs.upsert_stream(runs.landed(spark, landing, "k string, ts int", 1), root, "k", "ts", "string", "int", 3).awaitTermination(120)
+    now = lambda: sorted(map(tuple, runs.catalogue(spark, root, "k", "string", "int").collect()))
+    kept = lambda: sorted(p.name for p in (tmp_path / "out").iterdir() if p.name[:4] in ("base", "delt"))
+    assert now() == []
     part([("a", 3), ("a", 1)])
-    stream().awaitTermination(120)
+    stream()
     part([("a", 7), ("b", 2)])
-    stream().awaitTermination(120)
-    assert sorted(map(tuple, spark.read.parquet(f"{root}/v1").collect())) == [("a", 1, 7, 3), ("b", 2, 2, 1)]
+    stream()
+    assert now() == [("a", 1, 7, 3), ("b", 2, 2, 1)] and kept() == ["delta-0", "delta-1"]
+    size = lambda name: sum(p.stat().st_size for p in (tmp_path / "out" / name).glob("*.parquet"))
+    part([(f"k{k}", k) for k in range(5000)])
+    stream()
+    assert kept() == ["base-2", "delta-0", "delta-1", "delta-2"] and len(now()) == 5002
+    for k in range(3):
+        part([("a", 100 + k)])
+        stream()
+    assert size("delta-5") * 10 < size("base-2")
+    assert kept() == ["base-2", "base-5", "delta-3", "delta-4", "delta-5"] and ("a", 1, 102, 6) in now()
+    # A batch that runs again, before or after it is compacted, counts once.
+    for commits in ((tmp_path / "out/checkpoint/commits").iterdir(),):
+        for p in commits:
+            if p.name.lstrip(".").startswith("5"):
+                p.unlink()
+    stream()
+    assert ("a", 1, 102, 6) in now() and len(now()) == 5002
 
 
 def test_windowed_log_counts(spark, tmp_path):
