@@ -37,3 +37,11 @@ def test_slugs_of_equal_hashes(spark, tmp_path):
     part = spark.createDataFrame([(1, "red pin"), (other, "red pin"), (k, "red pin")], "p_partkey bigint, p_name string")
     slugs = dict(same(spark, tmp_path, "unique_slug", part=part))
     assert slugs[1] == "red-pin" and slugs[k] == slugs[other] != "red-pin"
+
+
+def test_facts_are_read_once_a_line(spark, tmp_path):
+    rows = [(k, f"red pin {k % 3}", ["PROMO", "LARGE", "SMALL"][k % 3], k % 4 * 7, 900.0 + k, "Brand#1") for k in range(40)]
+    part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double, p_brand string")
+    same(spark, tmp_path, "fact_supports", part=part)
+    condition = next(x for x in plans.QUERIES["fact_supports"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
+    assert "RLIKE" not in condition and "regexp_replace" not in condition
