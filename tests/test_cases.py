@@ -39,9 +39,22 @@ def test_slugs_of_equal_hashes(spark, tmp_path):
     assert slugs[1] == "red-pin" and slugs[k] == slugs[other] != "red-pin"
 
 
+def after_last_join(df):
+    """The physical plan above its joins, as text."""
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return plan[: plan.index("Join")]
+
+
 def test_facts_are_read_once_a_line(spark, tmp_path):
     rows = [(k, f"red pin {k % 3}", ["PROMO", "LARGE", "SMALL"][k % 3], k % 4 * 7, 900.0 + k, "Brand#1") for k in range(40)]
     part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double, p_brand string")
     same(spark, tmp_path, "fact_supports", part=part)
     condition = next(x for x in plans.QUERIES["fact_supports"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x)
     assert "RLIKE" not in condition and "regexp_replace" not in condition
+
+
+def test_proposals_do_not_shuffle_pairs(spark, tmp_path):
+    rows = [(k, "red pin", "PROMO" if k % 5 == 0 else "LARGE", k % 4, 900.0 + k, f"Brand#{k % 2}") for k in range(60)]
+    part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double, p_brand string")
+    same(spark, tmp_path, "link_proposals", part=part)
+    assert "Aggregate" not in after_last_join(plans.QUERIES["link_proposals"](spark, str(tmp_path)))
