@@ -58,3 +58,10 @@ def test_proposals_do_not_shuffle_pairs(spark, tmp_path):
     part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double, p_brand string")
     same(spark, tmp_path, "link_proposals", part=part)
     assert "Aggregate" not in after_last_join(plans.QUERIES["link_proposals"](spark, str(tmp_path)))
+
+
+def test_duplicates_are_not_shuffled(spark, tmp_path):
+    rows = [(k, "HOUSEHOLD" if k % 2 else "BUILDING", k % 3) for k in range(0, 6000, 37)] + [(k + 401 * 307, "HOUSEHOLD", k % 3) for k in range(1, 40)]
+    customer = spark.createDataFrame(rows, "c_custkey bigint, c_mktsegment string, c_nationkey int")
+    assert same(spark, tmp_path, "catalogue_duplicates", customer=customer)
+    assert "Aggregate" not in after_last_join(plans.QUERIES["catalogue_duplicates"](spark, str(tmp_path)))
