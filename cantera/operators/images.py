@@ -12,6 +12,9 @@ from pyspark.sql.types import StructType
 from cantera.functions.html import Element, elements
 from cantera.functions.text import contains_phrase, fold
 
+#: Distinct places that are sent to all tasks; more are shuffled.
+MOST_PLACES = 50_000
+
 IMAGE = "src string, alt string, caption string, origin string, verified boolean"
 
 
@@ -64,5 +67,7 @@ def unverified_places(images: DataFrame, places: DataFrame, key: str = "page_id"
     text = fold(F.concat_ws(" ", F.coalesce("alt", F.lit("")), F.coalesce("caption", F.lit(""))))
     rows = images.where("coalesce(origin, '') <> '' AND NOT verified").select(key, "src", text.alias("text"))
     words = rows.withColumn("first", F.explode(F.array_distinct(F.split("text", " "))))
-    found = words.join(needles, "first").where(contains_phrase(F.col("text"), F.col("needle"))).groupBy(key, "src", "text").agg(F.array_sort(F.collect_set("place")).alias("named"))
+    # The words of all texts are never the side that is sent to all tasks.
+    few = needles.limit(MOST_PLACES + 1).count() <= MOST_PLACES
+    found = words.join(F.broadcast(needles) if few else needles.hint("merge"), "first").where(contains_phrase(F.col("text"), F.col("needle"))).groupBy(key, "src", "text").agg(F.array_sort(F.collect_set("place")).alias("named"))
     return found.select(key, F.lit("image-place-unverified").alias("rule"), F.concat(F.col("src"), F.lit(": "), F.array_join("named", ", ")).alias("detail"))

@@ -65,3 +65,11 @@ def test_duplicates_are_not_shuffled(spark, tmp_path):
     customer = spark.createDataFrame(rows, "c_custkey bigint, c_mktsegment string, c_nationkey int")
     assert same(spark, tmp_path, "catalogue_duplicates", customer=customer)
     assert "Aggregate" not in after_last_join(plans.QUERIES["catalogue_duplicates"](spark, str(tmp_path)))
+
+
+def test_few_places_are_the_side_sent(spark, tmp_path):
+    rows = [(k, f"red pin{k % 7}", "PROMO" if k % 5 == 0 else "ECONOMY", 45 + k % 4, f"Brand#{k % 3}") for k in range(60)]
+    part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_size int, p_brand string")
+    assert same(spark, tmp_path, "image_places", part=part)
+    plan = plans.QUERIES["image_places"](spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
