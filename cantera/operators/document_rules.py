@@ -112,9 +112,16 @@ REFERENCE_RULES = [
 RULES = [*TYPE_RULES, *COMMON_RULES, *NESTED_RULES, *REFERENCE_RULES]
 
 
-def walked(documents: DataFrame, column: str = "json") -> DataFrame:
-    """Objects of documents (id, json, …)."""
-    return json_walk(documents, column, F.col("id"))
+def walked(documents: DataFrame, column: str = "json", rules: list[tuple[str | None, ...]] | None = None) -> DataFrame:
+    """Objects of documents (id, json, …); only what ``document_issues`` needs of them, if its rules are given."""
+    if rules is None:
+        return json_walk(documents, column, F.col("id"))
+    return json_walk(documents, column, F.col("id"), [r[:3] for r in rules], {r[3] for r in rules}, ("path", "place", "root_type", "pos", "type", "members"))
+
+
+def walked_references(documents: DataFrame, column: str = "json") -> DataFrame:
+    """The references in documents (id, json, …), with what ``references`` needs of them."""
+    return json_walk(documents, column, F.col("id"), [(None, None, "reference")], ("_ref", "_weak"), ("path", "place", "root_type", "type", "members"))
 
 
 def document_issues(nodes: DataFrame, rules: list[tuple[str | None, ...]] = RULES) -> DataFrame:
@@ -132,12 +139,14 @@ def references(nodes: DataFrame, rules: tuple[tuple[str, str, str], ...] = REFER
     return rows.select("id", "path", "ref", "weak", F.split("allowed", r"\|").alias("allowed"))
 
 
-def reference_faults(found: DataFrame, documents: DataFrame) -> DataFrame:
-    """(id, path, ref, fault): references to no document (weak ones may) or to one of another type than allowed."""
-    known = documents.select(F.col("id").alias("ref"), F.get_json_object("json", "$._type").alias("kind")).dropDuplicates(["ref"])
+def reference_faults(found: DataFrame, documents: DataFrame, whole: bool = False) -> DataFrame:
+    """(id, path, ref, fault): references to no document (weak ones may) or to one of another type than allowed; all others too, with a null, if ``whole``. Types are read from documents (id, json) or from their column ``kind``."""
+    kind = F.col("kind") if "kind" in documents.columns else F.get_json_object("json", "$._type")
+    known = documents.select(F.col("id").alias("ref"), kind.alias("kind")).dropDuplicates(["ref"])
     both = found.join(known, "ref", "left")
     fault = F.when(F.col("kind").isNull() & ~F.col("weak"), "missing").when(F.col("kind").isNotNull() & ~F.array_contains("allowed", F.col("kind")), "wrong-type")
-    return both.select("id", "path", "ref", fault.alias("fault")).where("fault is not null")
+    rows = both.select("id", "path", "ref", fault.alias("fault"))
+    return rows if whole else rows.where("fault is not null")
 
 
 def document_outcomes(found: DataFrame, documents: DataFrame, types: Column | None = None) -> DataFrame:

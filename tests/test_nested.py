@@ -125,3 +125,20 @@ def test_references_and_repeats(spark):
     assert {(r.path, r.code) for r in document_rules.document_issues(nodes).where("code = 'business-unique'").collect()} == {("entries[2].business", "business-unique"), ("entries[3].business", "business-unique")}
     faults = document_rules.reference_faults(document_rules.references(nodes), docs)
     assert {tuple(r) for r in faults.collect()} == {("comparison-a", "entries[1].business", "business-b", "missing"), ("comparison-a", "area", "business-a", "wrong-type")}
+
+
+def test_a_narrowed_walk_gives_the_same_rows(spark):
+    df = spark.createDataFrame([("d", '{"_type": "a", "x": {"_type": "reference", "_ref": "r1", "z": 1.50}, "l": [{"_type": "b", "y": {"_type": "reference", "_ref": "r2"}}, {"_type": "c"}]}'), ("e", "{broken"), ("f", None)], "id string, json string")
+    whole = nested.json_walk(df, "json", F.col("id")).where("path is null or type = 'reference' or place = 'l[]' and root_type = 'a'")
+    some = nested.json_walk(df, "json", F.col("id"), [(None, None, "reference"), ("a", "l[]", None)], ("_ref", "z"), ("path", "place", "pos", "type", "members"))
+    assert some.columns == ["id", "path", "place", "pos", "type", "members"]
+    members = lambda m: None if m is None else {k: m[k] for k in m if k in ("_ref", "z")}
+    rows = lambda d: sorted(repr((r.id, r.path, r.place, r.pos, r.type, members(r.members))) for r in d.collect())
+    assert rows(some) == rows(whole) and some.count() == 5
+
+
+def test_references_are_read_in_one_walk(spark):
+    from cantera import plans
+
+    plan = plans.QUERIES["document_references"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
