@@ -116,14 +116,20 @@ def violations(nodes: DataFrame, rules: Iterable[tuple[str | None, ...]], keys:
         else:
             broken = F.when(F.coalesce(TESTS[test](m, bound), F.lit(False)), hit(path, code, severity))
         scopes.setdefault((of, where, node), []).append(broken)
-    found = [F.when(F.col("path").isNull(), F.array(hit(F.lit(""), "json", "error")))]
-    for scope, broken in scopes.items():
-        holds = F.col("path").isNotNull()
-        for want, have in zip(scope, ("root_type", "place", "type"), strict=True):
+    # By document type first, so that an object isn't held against the places of all others.
+    by_type: dict[str | None, list[Column]] = {}
+    for (of, *scope), broken in scopes.items():
+        holds = F.lit(True)
+        for want, have in zip(scope, ("place", "type"), strict=True):
             if want is not None:
                 holds = (F.col(have) == want) & holds
-        found.append(F.when(holds, F.array_compact(F.array(*broken))))
-    rows = nodes.select(*keys, "place", "pos", F.explode(F.flatten(F.array_compact(F.array(*found)))).alias("_hit")).select(*keys, "place", "pos", "_hit.*")
+        by_type.setdefault(of, []).append(F.when(holds, F.array_compact(F.array(*broken))))
+    found = [F.when(F.col("path").isNull(), F.array(hit(F.lit(""), "json", "error")))]
+    for of, some in by_type.items():
+        holds = F.col("path").isNotNull() if of is None else (F.col("root_type") == of) & F.col("path").isNotNull()
+        found.append(F.when(holds, F.flatten(F.array_compact(F.array(*some)))))
+    # An inner explode would also ask, in a filter before it, whether there is anything to explode, and put every rule to every object once more.
+    rows = nodes.select(*keys, "place", "pos", F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("_hit")).where("_hit is not null").select(*keys, "place", "pos", "_hit.*")
     if any(r[4] == "unique" for r in rules):
         earlier = F.row_number().over(Window.partitionBy(*keys, "place", "code", "text").orderBy("pos"))
         rows = rows.withColumn("_nth", earlier).where("text is null OR _nth > 1")

@@ -142,3 +142,9 @@ def test_references_are_read_in_one_walk(spark):
 
     plan = plans.QUERIES["document_references"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1
+
+
+def test_rules_are_put_to_an_object_once(spark):
+    nodes = document_rules.walked(spark.createDataFrame([("d", "{}")], "id string, json string"), rules=document_rules.RULES)
+    plan = document_rules.document_issues(nodes, document_rules.RULES[:20])._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(line.count("flatten(") > 0 for line in plan.splitlines()) == 1
