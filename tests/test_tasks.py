@@ -24,3 +24,12 @@ def test_pairs_of_blocks_are_given_once_without_gathering_them(spark):
 
 def test_words_of_claims_and_facts_are_made_once(spark):
     assert optimized(plans.QUERIES["claim_support"](spark, SF)).count("regexp_replace(lower(") == 2
+
+
+def test_sentences_are_cut_once(spark):
+    assert optimized(plans.QUERIES["sentence_density"](spark, SF)).count("(?<=[.!?])") == 1
+
+
+@pytest.mark.parametrize("name", ["merged_lists", "sentence_density"])
+def test_rows_of_small_files_are_dealt_to_all_tasks(spark, name):
+    assert "Repartition 4, true" in optimized(plans.QUERIES[name](spark, SF))
