@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cantera.operators import images
+from cantera.operators.pairs import scattered
 
 from .registry import query
 
@@ -26,7 +27,7 @@ SELECT page_id, src, alt, caption, origin, verified FROM (
   UNION ALL SELECT p_partkey, '/x.jpg', NULL, '', 'stock', false FROM part)
 """)
 def page_images(spark, t):
-    return images.page_images(part_figures(t)[0])
+    return images.page_images(part_figures(lambda name: scattered(t(name)))[0])
 
 
 @query("""

@@ -30,6 +30,6 @@ def test_sentences_are_cut_once(spark):
     assert optimized(plans.QUERIES["sentence_density"](spark, SF)).count("(?<=[.!?])") == 1
 
 
-@pytest.mark.parametrize("name", ["merged_lists", "sentence_density"])
+@pytest.mark.parametrize("name", ["identity_checks", "merged_lists", "page_images", "sentence_density"])
 def test_rows_of_small_files_are_dealt_to_all_tasks(spark, name):
     assert "Repartition 4, true" in optimized(plans.QUERIES[name](spark, SF))
