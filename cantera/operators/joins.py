@@ -6,6 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cantera.functions.geo import cell, cells, haversine_m
+from cantera.operators.pairs import spread
+
+#: Tasks that share the points of a cell.
+PARTS = 16
 
 
 def deref(df: DataFrame, ref: str, target: DataFrame, key: str, take: dict[str, str], keep_missing: bool = True) -> DataFrame:
@@ -37,10 +41,11 @@ def within_radius(a: DataFrame, b: DataFrame, metres: float) -> DataFrame:
     """Pairs (a_id, b_id, metres) at most so far apart; columns id, lat, lng; ids ascending.
 
     An equi-join on grid cells, each at least as wide as the radius at its latitude, then the
-    exact distance.
+    exact distance. A cell's points on the left are dealt to ``PARTS`` tasks, each of which gets
+    those on the right, as points may all stand in few cells.
     """
     size = metres / 111_000.0
-    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.explode(cells(F.col("lat"), F.col("lng"), size)).alias("_cell"))
-    right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), cell(F.col("lat"), F.col("lng"), size).alias("_cell"))
-    pairs = left.join(right, "_cell").filter("a_id < b_id").withColumn("metres", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")))
+    left = a.select(F.col("id").alias("a_id"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"), F.explode(cells(F.col("lat"), F.col("lng"), size)).alias("_cell")).withColumn("_part", F.pmod(F.xxhash64("a_id"), F.lit(PARTS)))
+    right = b.select(F.col("id").alias("b_id"), F.col("lat").alias("b_lat"), F.col("lng").alias("b_lng"), cell(F.col("lat"), F.col("lng"), size).alias("_cell")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(PARTS - 1).cast("bigint"))))
+    pairs = spread(left, "_cell", "_part").join(spread(right, "_cell", "_part"), ["_cell", "_part"]).filter("a_id < b_id").withColumn("metres", haversine_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng")))
     return pairs.filter(F.col("metres") <= metres).select("a_id", "b_id", "metres")

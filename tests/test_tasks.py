@@ -33,3 +33,10 @@ def test_sentences_are_cut_once(spark):
 @pytest.mark.parametrize("name", ["identity_checks", "merged_lists", "page_images", "sentence_density"])
 def test_rows_of_small_files_are_dealt_to_all_tasks(spark, name):
     assert "Repartition 4, true" in optimized(plans.QUERIES[name](spark, SF))
+
+
+def test_points_of_one_cell_are_dealt_to_several_tasks(spark):
+    rows = spark.createDataFrame([(k, 38.5, -0.1) for k in range(40)], "id int, lat double, lng double")
+    found = joins.within_radius(rows, rows, 10.0)
+    assert found.count() == 40 * 39 // 2
+    assert sum(n > 0 for n in found.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) > 1
