@@ -48,7 +48,7 @@ p AS (SELECT x.id AS a, y.id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, c
 SELECT a, b, round(k / (na + nb - k), 6) AS jaccard FROM p WHERE k / (na + nb - k) >= 0.15
 """)
 def jaccard_pairs(spark, t):
-    sets = lambda d, k: d.select(F.col(k).alias("key"), tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    sets = lambda d, k: d.select(F.col(k).alias("key"), tokens(F.col("text")).alias("tokens"))
     return pairs.jaccard_pairs(sets(t("documents"), "doc_id"), sets(t("benchmark"), "item_id"), 0.15).withColumn("jaccard", F.round("jaccard", 6))
 
 
@@ -60,7 +60,7 @@ p AS (SELECT d.id AS a, i.id AS b, sum(d.n * i.n) AS dot FROM d JOIN i ON d.w =
 SELECT a, b, round(dot / (nd.s * ni.s), 6) AS cosine FROM p JOIN nd ON nd.id = a JOIN ni ON ni.id = b WHERE dot / (nd.s * ni.s) >= 0.4
 """)
 def tf_cosine_pairs(spark, t):
-    counts = lambda d, k: d.select(F.col(k).alias("key"), F.explode(F.split(fold(F.col("text")), " ")).alias("token")).filter(F.length("token") >= 4).groupBy("key", "token").agg(F.count("*").alias("n"))
+    counts = lambda d, k: d.select(F.col(k).alias("key"), F.explode_outer(F.split(fold(F.col("text")), " ")).alias("token")).filter(F.length("token") >= 4).groupBy("key", "token").agg(F.count("*").alias("n"))
     return pairs.cosine_pairs(counts(t("documents"), "doc_id"), counts(t("benchmark"), "item_id"), 0.4).withColumn("cosine", F.round("cosine", 6))
 
 

@@ -40,3 +40,18 @@ def test_points_of_one_cell_are_dealt_to_several_tasks(spark):
     found = joins.within_radius(rows, rows, 10.0)
     assert found.count() == 40 * 39 // 2
     assert sum(n > 0 for n in found.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()) > 1
+
+
+def test_few_rows_are_met_in_place_with_the_same_pairs(spark, monkeypatch):
+    words = [(k, [f"w{(k * j) % 13}" for j in range(1, 6)]) for k in range(30)]
+    sets = spark.createDataFrame(words, "key int, tokens array<string>").withColumn("tokens", F.array_distinct("tokens")).unionByName(spark.createDataFrame([(99, []), (98, None)], "key int, tokens array<string>"))
+    counts = sets.select("key", F.explode("tokens").alias("token")).withColumn("n", F.col("key").cast("bigint") % 3 + 1)
+    found = lambda: [sorted((r[0], r[1], round(r[2], 9)) for r in d.collect()) for d in (pairs.jaccard_pairs(sets, sets, 0.3), pairs.cosine_pairs(counts, counts, 0.4))]
+    assert "array_intersect" not in optimized(pairs.jaccard_pairs(sets, sets, 0.3))
+    here = found()
+    monkeypatch.setattr(pairs, "MOST_KEYS", 0)
+    assert here == found() and all(here)
+
+
+def test_topics_are_matched_once(spark):
+    assert "regexp_replace" not in optimized(plans.QUERIES["topic_selection"](spark, SF))
