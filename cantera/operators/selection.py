@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantera.functions.text import contains_phrase, fold, once
+from cantera.sources.store import stored
 
 
 def matched_terms(df: DataFrame, text: str, terms: list[str], out: str) -> DataFrame:
@@ -29,7 +30,8 @@ def select_topic(docs: DataFrame, key: str, text: str, terms: list[str], useful:
     each matched term, 60 at most. Rows beyond ``limit`` are kept as excluded ones. Equal
     rows share a rank.
     """
-    rows = matched_terms(docs, text, terms, "terms")
+    # Read twice, by the top-k and by what it is joined to: the texts are folded and matched once.
+    rows = stored(matched_terms(docs, text, terms, "terms"), "topic")
     relevance = F.least(F.lit(60), F.size("terms") * 20).cast("double")
     coverage = sum((F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in useful.items()), F.lit(0.0))
     rows = rows.withColumn("relevance", relevance).withColumn("coverage", coverage).withColumn("score", F.col("relevance") + F.col("coverage"))
