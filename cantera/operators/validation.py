@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from cantera.functions.dates import strict_date
 from cantera.functions.extract import claim_tokens
-from cantera.functions.text import contains_phrase, fold
+from cantera.functions.text import contains_phrase, fold, once
+from cantera.sources.store import stored
 
 SEO_TITLE_MAX, SEO_DESCRIPTION_MIN, SEO_DESCRIPTION_MAX = 60, 70, 155
 REPEATED_BLOCK, REPEATED_TOKENS = 0.7, 6
@@ -143,14 +144,18 @@ def repeated_blocks(blocks: DataFrame) -> DataFrame:
 
     Blocks meet on their rarest tokens within a document, not all with all.
     """
-    rows = blocks.withColumn("tokens", F.array_distinct(claim_tokens(F.col("text")))).filter(F.size(claim_tokens(F.col("text"))) >= REPEATED_TOKENS)
-    rows = rows.select("doc", "zone", "tokens", F.xxhash64("doc", "zone", "text").alias("key")).distinct()
+    found = claim_tokens(F.col("text"))
+    rows = blocks.select("doc", "zone", F.xxhash64("doc", "zone", "text").alias("key"), once(found, lambda ts: F.when(F.size(ts) >= REPEATED_TOKENS, F.array_distinct(ts))).alias("tokens"))
+    rows = stored(rows.distinct(), "blocks").where("tokens is not null")
     # Of n tokens, a block that shares ceil(0.7 n) shares one of the first n - ceil(0.7 n) + 1 in any common order.
     head = F.slice(F.sort_array("tokens"), 1, F.size("tokens") - F.ceil(F.size("tokens") * REPEATED_BLOCK - 1e-9).cast("int") + 1)
-    each = rows.select("doc", "zone", "key", "tokens", F.explode(head).alias("token"))
-    other = each.select("doc", F.col("zone").alias("zone2"), F.col("key").alias("key2"), F.col("tokens").alias("tokens2"), "token")
+    # Blocks meet on hashes of tokens, as keys alone; their tokens follow once a pair.
+    each = rows.select("doc", "zone", "key", F.explode(head).alias("token")).select("doc", "zone", "key", F.xxhash64("token").alias("token"))
+    other = each.select("doc", F.col("zone").alias("zone2"), F.col("key").alias("key2"), "token")
+    near = each.join(other, ["doc", "token"]).filter("zone < zone2").select("doc", "key", "key2").distinct()
+    near = near.join(rows.select("doc", "key", "tokens"), ["doc", "key"]).join(rows.select("doc", F.col("key").alias("key2"), F.col("tokens").alias("tokens2")), ["doc", "key2"])
     alike = F.size(F.array_intersect("tokens", "tokens2")) >= REPEATED_BLOCK * F.size(F.array_union("tokens", "tokens2")) - 1e-9
-    return each.join(other, ["doc", "token"]).filter("zone < zone2").filter(alike).select("doc").distinct()
+    return near.filter(alike).select("doc").distinct()
 
 
 def repetitions(texts: DataFrame, featured: DataFrame) -> DataFrame:

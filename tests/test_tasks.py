@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cantera import plans
-from cantera.operators import joins, pairs
+from cantera.operators import joins, pairs, validation
 
 SF = "/root/testdata/sf0.001"
 
@@ -55,3 +55,13 @@ def test_few_rows_are_met_in_place_with_the_same_pairs(spark, monkeypatch):
 
 def test_topics_are_matched_once(spark):
     assert "regexp_replace" not in optimized(plans.QUERIES["topic_selection"](spark, SF))
+
+
+def test_blocks_meet_as_keys_without_their_tokens(spark):
+    text = "terraza cubierta arroces caldosos paellas mixtas mariscos frescos"
+    rows = [(1, "a", text), (1, "b", text + " diarios"), (2, "a", text), (2, "a", text + " hoy"), (3, "a", None), (3, "b", "corto")]
+    found = validation.repeated_blocks(spark.createDataFrame(rows, "doc int, zone string, text string"))
+    assert [r.doc for r in found.collect()] == [1]
+    plan = optimized(found).splitlines()
+    above = [plan[k - 1] for k, line in enumerate(plan) if "Generate explode" in line]
+    assert above and not any("tokens" in line for line in above)
