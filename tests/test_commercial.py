@@ -2,6 +2,10 @@
 
 import json
 
+import duckdb
+import pytest
+
+from cantera import plans
 from cantera.functions.html import elements
 from cantera.operators import commercial
 
@@ -77,3 +81,13 @@ def test_lines(spark):
     df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
     got = [(r.name, r.kind, r.amount, r.qualifier) for r in sorted(commercial.text_items(df, "id").collect(), key=lambda r: r.pos)]
     assert got == [("Arroz", "product", 12.0, None), ("Vino", "product", 4.5, "from"), ("Boda", "service", 100.0, None), ("Fideuá", "specialty", 15.0, None)]
+
+
+@pytest.mark.parametrize("other", ["MEDIUM", "PROMO"])
+def test_summary_of_more_items_than_a_page_may_have(spark, tmp_path, other):
+    kinds = {"LARGE": 70, "SMALL": 60, other: 1}
+    rows = [(k, f"{'abcdefgh'[j // 10]}{'klmnopqrst'[j % 10]} part", "Brand#1", kind, 7, 900.0 + j) for k, (kind, j) in enumerate((kind, j) for kind, n in kinds.items() for j in range(n))]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    want = duckdb.sql(plans.ORACLES["commercial_summary"].replace("FROM part)", f"FROM '{tmp_path}/part.parquet/*.parquet')")).fetchall()
+    got = [tuple(r) for r in plans.QUERIES["commercial_summary"](spark, str(tmp_path)).collect()]
+    assert got == want and got[0][4] == 100
