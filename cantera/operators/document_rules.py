@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cantera.operators.nested import json_walk
-from cantera.operators.rule_tables import outcomes, violations
+from cantera.operators.rule_tables import issues, outcomes, violations
 
 # Types, enumerations, formats and lengths of documents.
 SLUGGED = ("area", "category", "author", "business", "place", "beach", "event", "article", "comparison")
@@ -129,6 +129,11 @@ def document_issues(nodes: DataFrame, rules: list[tuple[str | None, ...]] = RULE
     return violations(nodes, rules, ["id"])
 
 
+def text_issues(documents: DataFrame, rules: list[tuple[str | None, ...]] = RULES) -> DataFrame:
+    """What ``document_issues`` finds, of documents (id, json, …) that need no other walk."""
+    return issues(documents, rules)
+
+
 def references(nodes: DataFrame, rules: tuple[tuple[str, str, str], ...] = REFERENCES) -> DataFrame:
     """(id, path, ref, weak, allowed): the valid references in documents; allowed lists types where a rule does."""
     spark = nodes.sparkSession

@@ -10,12 +10,16 @@ exploded once, whatever the number of rules.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
+from datetime import date
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantera.functions.dates import strict_date
+from cantera.operators.nested import ABSENT, Number, json_doubts
 
 RULE = "doc_type string, place string, node_type string, member string, test string, bound string, severity string, code string"
 MOST = 10_000
@@ -33,14 +37,14 @@ def _full(m: Column) -> Column:
     return _is("string")(m) & (F.trim(m["text"]) != "")
 
 
-def _range(bound: str) -> tuple[Column, Column]:
+def _range(bound: str) -> tuple[float, float]:
     low, _, high = bound.partition("..")
-    return F.lit(float(low) if low else float("-inf")), F.lit(float(high) if high else float("inf"))
+    return float(low) if low else float("-inf"), float(high) if high else float("inf")
 
 
 def _within(value: Column, bound: str) -> Column:
     low, high = _range(bound)
-    return F.coalesce(value.between(low, high), F.lit(False))
+    return F.coalesce(value.between(F.lit(low), F.lit(high)), F.lit(False))
 
 
 #: Each test says what breaks a rule, of a member (null where there is none) and the bound. Tests of optional members hold only if they are there.
@@ -81,6 +85,58 @@ TESTS: dict[str, Callable[[Column, str], Column]] = {
 }
 
 
+#: Tests that a missing member never breaks.
+OPTIONAL = frozenset(t for t in TESTS if t.startswith("optional-")) | {"at-most", "text-at-most", "one-of", "positive", "absent", "unique", "objects"}
+#: Expressions that Java and Python read alike, on printable ASCII texts: sets without sets in them, groups, lookahead, counts.
+ALIKE = re.compile(r"(?:\(\?i\))?(?:\\[.dsw/-]|\[\^?(?:\\[.dsw/-]|[A-Za-z0-9_.,/?#:@ -])+\]|\((?:\?[!=:])?|\{\d+(?:,\d*)?\}|[A-Za-z0-9_/:@,#= .^$|)*+?-])+")
+
+
+def _matcher(pattern: str) -> Callable[[object], bool]:
+    """Whether a text surely matches; never for an expression that isn't ``ALIKE``."""
+    if not ALIKE.fullmatch(pattern):
+        return lambda v: False
+    search = re.compile(pattern, re.ASCII).search
+    return lambda v: type(v) is str and v.isascii() and v.isprintable() and search(v) is not None
+
+
+def _day(v: object) -> bool:
+    if type(v) is not str or not re.fullmatch(r"\d{4}-\d\d-\d\d", v, re.ASCII):
+        return False
+    try:
+        return date.fromisoformat(v) is not None
+    except ValueError:
+        return False
+
+
+def cleared(test: str, bound: str | None) -> Callable[[object], bool]:
+    """What tells cheaply, of a parsed value or ``ABSENT``, that it surely doesn't break a test; what isn't cleared is for ``TESTS`` to judge."""
+    text = lambda v: type(v) is str
+    filled = lambda v: type(v) is str and v.strip() != ""
+    all_of = lambda v, good: isinstance(v, list) and all(good(x) for x in v)
+    kind = test.removeprefix("optional-")
+    if kind in ("at-most", "text-at-most"):
+        most = int(bound)
+        sure = lambda v: len(v) <= most if type(v) is str else kind == "at-most"
+    elif kind in ("one-of", "required-one-of", "is"):
+        wanted = frozenset([bound] if kind == "is" else bound.split("|"))
+        sure = lambda v: type(v) is str and v in wanted
+    elif kind in ("matches", "web-address"):
+        sure = _matcher(WEB if bound is None else bound) if kind == "web-address" else _matcher(bound)
+    elif kind == "number":
+        low, high = _range(bound)
+        sure = lambda v: type(v) is Number and low <= float(v) <= high
+    elif kind in ("list", "texts", "strings"):
+        low, high = _range(bound or "..") if test != "optional-list" and test != "optional-texts" else _range("..")
+        good = {"list": lambda v: True, "texts": filled, "strings": text}[kind]
+        sure = lambda v: all_of(v, good) and low <= len(v) <= high
+    else:
+        sure = {
+            "text": text if test == "optional-text" else filled, "full-text": filled, "boolean": lambda v: isinstance(v, bool), "positive": lambda v: type(v) is Number and float(v) > 0, "date": _day, "object": lambda v: isinstance(v, dict),
+            "reference": lambda v: isinstance(v, dict) and v.get("_type") == "reference" and type(v["_type"]) is str and type(v.get("_ref")) is str, "objects": lambda v: not isinstance(v, list) or all_of(v, lambda x: isinstance(x, dict)),
+        }.get(kind, lambda v: False)
+    return (lambda v: v is ABSENT or sure(v)) if test in OPTIONAL else (lambda v: v is not ABSENT and sure(v))
+
+
 def rules_of(table: DataFrame) -> list[tuple[str | None, ...]]:
     """The rules of a table with the columns of ``RULE``; an unknown test or severity is an error, as is a table beyond ``MOST``."""
     rows = [tuple(r) for r in table.select(*[c.split()[0] for c in RULE.split(", ")]).limit(MOST + 1).collect()]
@@ -130,10 +186,39 @@ def violations(nodes: DataFrame, rules: Iterable[tuple[str | None, ...]], keys:
         found.append(F.when(holds, F.flatten(F.array_compact(F.array(*some)))))
     # An inner explode would also ask, in a filter before it, whether there is anything to explode, and put every rule to every object once more.
     rows = nodes.select(*keys, "place", "pos", F.explode_outer(F.flatten(F.array_compact(F.array(*found)))).alias("_hit")).where("_hit is not null").select(*keys, "place", "pos", "_hit.*")
-    if any(r[4] == "unique" for r in rules):
-        earlier = F.row_number().over(Window.partitionBy(*keys, "place", "code", "text").orderBy("pos"))
-        rows = rows.withColumn("_nth", earlier).where("text is null OR _nth > 1")
-    return rows.select(*keys, "path", "code", "severity")
+    return _repeats(rows, rules, keys).select(*keys, "path", "code", "severity")
+
+
+def _repeats(rows: DataFrame, rules: list[tuple[str | None, ...]], keys: list[str]) -> DataFrame:
+    """Hits, of those with a text only the ones after the first at their place."""
+    if not any(r[4] == "unique" for r in rules):
+        return rows
+    earlier = F.row_number().over(Window.partitionBy(*keys, "place", "code", "text").orderBy("pos"))
+    return rows.withColumn("_nth", earlier).where("text is null OR _nth > 1")
+
+
+def issues(documents: DataFrame, rules: Iterable[tuple[str | None, ...]], key: str = "id", column: str = "json") -> DataFrame:
+    """(key, path, code, severity): the same as ``violations`` of the objects of documents (key, column), without a row for each.
+
+    The task that walks a document clears what surely breaks no rule (``cleared``); members in
+    doubt become rows, and ``TESTS`` judges these.
+    """
+    rules = checked(rules)
+    doubts = json_doubts(documents, column, F.col(key), [(*r[:4], partial(cleared, r[4], r[5])) for r in rules])
+    by_test: dict[tuple, list[int]] = {}
+    for n, r in enumerate(rules):
+        by_test.setdefault(r[4:6], []).append(n)
+    broken = F.col("rule").isNull()
+    for (test, bound), numbers in by_test.items():
+        judged = F.col("member")["text"].isNotNull() if test == "unique" else F.coalesce(TESTS[test](F.col("member"), bound), F.lit(False))
+        broken = F.when(F.col("rule").isin(*numbers), judged).otherwise(broken)
+    said = F.when(F.col("rule").isNull(), F.struct(F.lit(None).cast("string").alias("member"), F.lit("json").alias("code"), F.lit("error").alias("severity"), F.lit(False).alias("once")))
+    if rules:
+        said = said.otherwise(F.get(F.array(*[F.struct(F.lit(r[3]).alias("member"), F.lit(r[7]).alias("code"), F.lit(r[6]).alias("severity"), F.lit(r[4] == "unique").alias("once")) for r in rules]), F.col("rule")))
+    rows = doubts.where(broken).withColumn("_said", said)
+    path = F.when(F.col("rule").isNull(), "").when(F.col("path") == "", F.col("_said.member")).otherwise(F.concat("path", F.lit("."), "_said.member"))
+    rows = rows.select(F.col("key").alias(key), "place", "pos", path.alias("path"), "_said.code", "_said.severity", F.when(F.col("_said.once"), F.col("member.text")).alias("text"))
+    return _repeats(rows, rules, [key]).select(key, "path", "code", "severity")
 
 
 def outcomes(found: DataFrame, documents: DataFrame, key: str, checked_: Column | None = None) -> DataFrame:

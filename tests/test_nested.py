@@ -148,3 +148,26 @@ def test_rules_are_put_to_an_object_once(spark):
     nodes = document_rules.walked(spark.createDataFrame([("d", "{}")], "id string, json string"), rules=document_rules.RULES)
     plan = document_rules.document_issues(nodes, document_rules.RULES[:20])._jdf.queryExecution().optimizedPlan().toString()
     assert sum(line.count("flatten(") > 0 for line in plan.splitlines()) == 1
+
+
+def test_what_a_walk_clears_breaks_no_rule(spark):
+    """Every test on every kind of value, judged for every object and for members in doubt alone."""
+    values = ["", " ", "a", "es", " ", "b\n", "ñ", "x" * 9, "2026-02-28", "2026-02-30", "2026-02-28T10:00", "https://x.example", "http://", "12:30", "a..b", 0, 1.50, -3, 1e400, 12345678901234567890, True, False, None, [], [1], ["a"], ["a", " "], ["a", 1], [{}], [{}, "a"], ["a", "b", "c"], {}, {"_type": "reference"}, {"_type": "reference", "_ref": "to"}, {"_type": 1, "_ref": 2}]
+    bounds = {"at-most": ["8"], "text-at-most": ["8"], "one-of": ["a|es"], "required-one-of": ["a|es"], "is": ["es"], "optional-is": ["es"], "matches": [r"^[a-z]+$", r"^(?!.*\.\.)[a-z.]{1,5}$", r"(?i)^HTTPS?://[^\s/?#]+", r"^[a-z&&[^b]]+$", r"\p{L}", "^([01]\\d|2[0-3]):[0-5]\\d$"], "number": ["-3..2", "..0"], "list": [None, "1..2"], "texts": [None, "3.."], "strings": [None, "..1"]}
+    bounds |= {"optional-matches": bounds["matches"], "optional-number": bounds["number"], "optional-list": [None], "optional-texts": [None]}
+    rules = [(None, where, None, "v", test, bound, "error", f"{test} {bound} {where}") for test in rule_tables.TESTS for bound in bounds.get(test, [None]) for where in ("", "l[]")]
+    rules += [("t", None, "n", "w", "text", None, "warning", "typed")]
+    docs = [(f"d{k}", json.dumps({"_type": "t", "v": v, "l": [{"_type": "n", "v": v}, {"w": 1}, {"v": v, "w": "x"}]})) for k, v in enumerate(values)] + [("none", "{}"), ("list", '[{"v": 1}]'), ("bad", "{"), ("null", None), ("twice", '{"l": [{"v": "a"}, {"v": 1}, {"v": "a"}, {"v": 1}]}')]
+    df = spark.createDataFrame(docs, "id string, json string")
+    found = lambda d: sorted(map(repr, d.collect()))
+    want = found(document_rules.document_issues(document_rules.walked(df), rules))
+    assert found(rule_tables.issues(df, rules)) == want and len(want) > 1000
+    # What is cleared leaves no row.
+    doubts = lambda made: nested.json_doubts(df, "json", F.col("id"), [(*r[:4], made(r)) for r in rules]).count()
+    assert doubts(lambda r: lambda: rule_tables.cleared(*r[4:6])) < doubts(lambda r: lambda: lambda v: False)
+
+
+def test_documents_without_faults_leave_no_rows(spark):
+    text = json.dumps({"_id": "business-1", "_type": "business", "language": "es", "slug": slug("a"), "name": "n", "businessKind": "bar", "shortDescription": "s", "website": "https://x.example", "categories": [{"_type": "reference", "_ref": "category-1"}], "lastVerified": "2026-01-01"})
+    rules = [(*r[:4], lambda r=r: rule_tables.cleared(*r[4:6])) for r in document_rules.RULES]
+    assert nested.json_doubts(spark.createDataFrame([("business-1", text)], "id string, json string"), "json", F.col("id"), rules).count() == 0
