@@ -3,7 +3,7 @@
 A fact matches a text if a word of the text (of three letters, or a number) is part of one
 of its words, or a word of the fact (of four letters) is part of one of the text's. Both are
 relations between words, so they are found once between the two vocabularies: a short word
-meets longer ones on its first letters, which are one of their n-grams, and is verified. An
+meets longer ones on its first four letters, which are one of their n-grams, and is verified. An
 inverted index then gives, for each word of a text, the first ``k`` facts of its scope, and
 a text merges the lists of its words. Only the first ``k`` of a word can be among the first
 ``k`` of a text, so every step keeps ``k`` rows a key, before the shuffle too, however many
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from cantera.functions.text import fold
 
-GRAM = 3
+GRAM = 4
 #: Facts that an existing claim, and a new one, may cite.
 REPAIRED, COMPLETED = 8, 6
 
@@ -27,28 +27,32 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(folded, " "), lambda w: w != ""))
 
 
-def _grams(word: Column) -> Column:
-    """What a contained word may start with: n-grams, and digits of one and two."""
-    at = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda k: F.substring(word, k, F.lit(n))))
-    short = F.filter(F.concat(F.coalesce(at(1), F.array()), F.coalesce(at(2), F.array())), lambda g: g.rlike(r"^\d+$"))
-    return F.array_distinct(F.concat(short, F.coalesce(at(GRAM), F.array())))
-
-
-def _contained(short: DataFrame, long: DataFrame) -> DataFrame:
-    """(s, l) of words s of ``short`` that are part of words l of ``long``; both have one column, ``word``."""
-    s = short.select(F.col("word").alias("s"), F.substring("word", 1, GRAM).alias("gram"))
-    wide = long.select(F.col("word").alias("l"), F.explode(_grams(F.col("word"))).alias("gram"))
-    return s.join(wide, "gram").where(F.contains("l", F.col("s"))).select("s", "l")
+def _grams(word: Column, *lengths: int) -> Column:
+    """What a contained word may start with."""
+    of = lambda n: F.when(F.length(word) >= n, F.transform(F.sequence(F.lit(1), F.length(word) - n + 1), lambda k: F.substring(word, k, F.lit(n))))
+    return F.array_distinct(F.flatten(F.array_compact(F.array(*[of(n) for n in lengths]))))
 
 
 def related_words(texts: DataFrame, facts: DataFrame) -> DataFrame:
-    """(t, u): words t of texts and u of facts of which one is part of the other, as the rule has it."""
+    """(t, u): words t of texts and u of facts of which one is part of the other, as the rule has it.
+
+    Both directions meet in one join, so that the words of the texts are made once for it.
+    """
     number = F.col("word").rlike(r"^\d+$")
-    t = texts.select("word").distinct()
-    u = facts.select("word").distinct()
-    into = _contained(t.where((F.length("word") >= 3) | number), u).select(F.col("s").alias("t"), F.col("l").alias("u"))
-    out = _contained(u.where(F.length("word") >= 4), t).select(F.col("l").alias("t"), F.col("s").alias("u"))
-    return into.unionByName(out).distinct()
+    word = F.col("word")
+
+    def roles(words: DataFrame, name: str, short: Column, into: bool, grams: Column) -> DataFrame:
+        """A word by its first letters where it may be the shorter, and by what such a word of the other side may start with."""
+        sides = F.array(F.when(short, F.struct(F.lit(into).alias("into"), F.array(F.substring(word, 1, F.lit(GRAM))).alias("grams"))), F.struct(F.lit(not into).alias("into"), grams.alias("grams")))
+        rows = words.select("word").distinct().select(word.alias(name), F.explode(F.array_compact(sides)).alias("_side"))
+        return rows.select(name, F.col("_side.into").alias("into"), F.explode("_side.grams").alias("gram"))
+
+    # Words of texts that are shorter than a gram are numbers, or of three letters; those of facts are as long.
+    t = roles(texts, "t", (F.length(word) >= 3) | number, True, _grams(word, GRAM))
+    u = roles(facts, "u", F.length(word) >= GRAM, False, F.array_union(F.filter(_grams(word, 1, 2), lambda g: g.rlike(r"^\d+$")), _grams(word, 3, GRAM)))
+    # A word that both have meets itself in one direction only.
+    part = F.when(F.col("into"), F.contains("u", F.col("t"))).otherwise(F.contains("t", F.col("u")) & (F.col("t") != F.col("u")))
+    return t.join(u, ["into", "gram"]).where(part).select("t", "u")
 
 
 def _first(df: DataFrame, by: list[str], k: int) -> DataFrame:

@@ -69,3 +69,14 @@ def test_completed_claims(spark):
     got = {(r.scope, r.id): (None if r.supported_by is None else list(r.supported_by), r.state) for r in bindings.completed_claims(t, c, f).collect()}
     assert got == want
     assert {state for _, state in want.values()} == {"kept", "completed", "unsupported", "repaired", "unmatched"}
+
+
+def test_words_meet_by_four_letters_and_once(spark):
+    """Against all pairs, with words of one to six letters and numbers; the words of the texts are made once."""
+    words = ["a", "7", "42", "x7", "sol", "sola", "solar", "insolar", "consola", "142", "1429", "ab", "abc", "xabc", "abcd", "xabcdy", "ñu", "mar", "mares"]
+    df = spark.createDataFrame([(w,) for w in words], "word string")
+    want = sorted((t, u) for t in words for u in words if ((len(t) >= 3 or t.isdigit()) and t in u) or (len(u) >= 4 and u in t))
+    found = bindings.related_words(df, df)
+    assert sorted((r.t, r.u) for r in found.collect()) == want
+    starts = found._jdf.queryExecution().optimizedPlan().toString()
+    assert starts.count("Join") == 1 and starts.count("LogicalRDD") == 2
