@@ -8,7 +8,7 @@ string, number or boolean. The three sides meet by (fact) and by (ref, fact, val
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantera.functions.extract import quoted_hours, quoted_number
@@ -68,10 +68,11 @@ def plan_claims(checks: DataFrame, facts: DataFrame, claims: DataFrame) -> DataF
     there = claims.select(F.col("ref").alias("_ref"), F.col("fact").alias("_of"), key.alias("_there")).distinct()
     values = claims.select(F.col("fact").alias("_of2"), key.alias("_v")).distinct().groupBy("_of2").agg(F.count("*").alias("_n"))
     same = claims.select(F.col("fact").alias("_of3"), key.alias("_v3")).distinct()
-    rows = rows.join(there, (F.col("ref") == F.col("_ref")) & (F.col("fact") == F.col("_of")) & (F.col("_key") == F.col("_there")), "left")
+    # What is keyed by the fact alone comes right after its unit, what is keyed by the whole check comes last, so that neither moves rows again.
     rows = rows.join(values, F.col("fact") == F.col("_of2"), "left").join(same, (F.col("fact") == F.col("_of3")) & (F.col("_key") == F.col("_v3")), "left")
-    first = rows.where("fault IS NULL").groupBy(F.col("ref").alias("_r"), F.col("fact").alias("_f"), F.col("_key").alias("_k")).agg(F.min("nth").alias("_first"))
-    rows = rows.join(first, (F.col("ref") == F.col("_r")) & (F.col("fact") == F.col("_f")) & (F.col("_key") == F.col("_k")), "left")
+    rows = rows.join(there, (F.col("ref") == F.col("_ref")) & (F.col("fact") == F.col("_of")) & (F.col("_key") == F.col("_there")), "left")
+    first = F.min(F.when(F.col("fault").isNull(), F.col("nth"))).over(Window.partitionBy("ref", "fact", "_key"))
+    rows = rows.withColumn("_first", F.when(F.col("ref").isNotNull(), first))
     outcome = F.when(F.col("fault").isNotNull(), "reject").when(F.col("_there").isNotNull(), "already there").when(F.col("nth") > F.col("_first"), "repeated").when(F.col("kind") == "boolean", "needs confirmation").otherwise("append")
     others = F.coalesce("_n", F.lit(0)) - F.col("_v3").isNotNull().cast("int")
     return rows.select("ref", "nth", "fact", "kind", "value", outcome.alias("outcome"), others.cast("long").alias("others"))

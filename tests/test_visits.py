@@ -47,3 +47,12 @@ def test_claims_need_their_visit(spark):
     claims = spark.createDataFrame([("name", "v1", "string", "El Faro"), ("name", "v9", "string", "x"), ("ramp", "v2", "boolean", "true"), ("price", "v1", "number", "2"), ("ramp", "v1", "boolean", "true"), ("hours", "v1", "string", "09:00-14:30"), ("nothing", "v2", "string", "x"), ("name", None, "string", "x")], "fact string, ref string, kind string, value string")
     assert {(r.fact, r.ref): r.fault for r in visits.claim_faults(claims, checks, facts).collect()} == {("name", "v9"): "no-visit", ("ramp", "v2"): "no-check", ("price", "v1"): "other-value", ("name", None): "no-visit"}
     assert visits.claim_faults(claims.limit(0), checks, facts).collect() == []
+
+
+def test_checks_are_verified_once(spark):
+    rows = [("v", 0, "price", "Son 5", "Son 5", "f", "number", "5"), ("v", 1, "price", "Son 5", "Son 5", "f", "number", "5"), (None, 2, "price", "Son 5", "Son 5", "f", "number", "5"), (None, 3, "price", "Son 5", "Son 5", "f", "number", "5")]
+    checks = spark.createDataFrame(rows, "ref string, nth int, category string, quote string, text string, fact string, kind string, value string")
+    facts, claims = spark.createDataFrame([("f", "uds")], "fact string, unit string"), spark.createDataFrame([], "fact string, ref string, kind string, value string")
+    plan = visits.plan_claims(checks, facts, claims)
+    assert {(r.nth, r.outcome) for r in plan.collect()} == {(0, "append"), (1, "repeated"), (2, "append"), (3, "append")}
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("quote-not-in-text") == 1
