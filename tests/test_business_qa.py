@@ -100,3 +100,10 @@ def test_similar_pages(spark):
     alike = {k: {p for c, p in v if c == "similar-content"} for k, v in got.items()}
     assert outcome["c"] == "PASS"
     assert alike["a"] == alike["b"] == {"shortDescription", "body.paragraphs", "body.structure"} and "c" not in alike
+
+
+def test_rows_of_businesses_are_not_merged_into_few_tasks(spark):
+    from cantera.plans.business_qa import part_pages
+
+    found = business_qa.own_issues(*part_pages(lambda name: spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")))
+    assert "RepartitionByExpression [id#" in found._jdf.queryExecution().optimizedPlan().toString()
