@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -260,6 +261,57 @@ def test_edit_distance_within_a_bound():
             assert line_dedup.within(x, y, most) == (d <= most), (x, y, most)
 
 
+def test_edit_distance_of_many_pairs_at_once():
+    """As one by one: of no, one and many words of bits, of equal and far lengths, of scripts with many signs."""
+    rnd = random.Random(17)
+    xs, ys, most = [], [], []
+    for k in range(3000):
+        n = rnd.choice((0, 5, 63, 64, 65, 130, 300))
+        signs = "abé " if k % 3 else [chr(0x4E00 + i) for i in range(400)]
+        x = "".join(rnd.choice(signs) for _ in range(rnd.randint(0, n)))
+        y = list(x)
+        for _ in range(rnd.randint(0, n // 4 + 1)):
+            at = rnd.randint(0, len(y))
+            y[at : at + rnd.randint(0, 2)] = rnd.choice(["", "a", "zz"])
+        xs.append(x)
+        ys.append("".join(y) if k % 10 else "".join(rnd.choice(signs) for _ in range(rnd.randint(0, n))))
+        most.append(rnd.choice((max(len(x), len(y)) // 5, rnd.randint(0, n // 4 + 2))))
+    got = line_dedup.within_each(xs, ys, np.array(most))
+    assert got.tolist() == list(map(line_dedup.within, xs, ys, most)) and 500 < got.sum() < 2500
+    assert line_dedup.within_each([], [], np.zeros(0, int)).tolist() == []
+
+
+@pytest.mark.parametrize("met", (3, 1000))
+def test_keys_that_meet_nothing_close_go_no_further(met, monkeypatch):
+    """Of the rows of a sig only those with a close one go on; of sigs beyond the limit all do, once, however batches fall."""
+    monkeypatch.setattr(line_dedup, "MET", met)
+    rnd = random.Random(met)
+    near = {k: (rnd.randint(30, 60), rnd.choice((0, 1, 3, (1 << 60) - 1, 0xFFFFFFFF))) for k in range(1, 60)}
+    rows = sorted((sig, near[k][0], k) for sig in range(40) for k in rnd.sample(range(1, 60), rnd.choice((1, 2, 3, 8, 20))) for _ in range(rnd.randint(1, 2)))
+    table = pa.table({"sig": pa.array([r[0] for r in rows], pa.int64()), "key": pa.array([r[2] for r in rows], pa.int64()), "n": pa.array([r[1] for r in rows], pa.int64()), "sketch": pa.array([near[r[2]][1].to_bytes(8, "little") for r in rows], pa.binary())})
+
+    def close(a, b):
+        (n, s), (m, t) = near[a], near[b]
+        return min(n, m) * 100 >= max(n, m) * 80 and (s ^ t).bit_count() <= 3
+
+    whole = {sig: sorted({r[2] for r in rows if r[0] == sig}) for sig in range(40)}
+    met_keys = {sig: tuple(k for k in keys if any(close(k, x) for x in keys if x != k)) for sig, keys in whole.items()}
+    for size in (1, 7, 5000):
+        got = defaultdict(list)
+        for batch in line_dedup._meeting(lambda na, nb, sa, sb: np.bitwise_count(sa ^ sb).sum(1) <= 3)(iter(table.to_batches(max_chunksize=size))):
+            for r in batch.to_pylist():
+                got[r["sig"], r["g"]].append(r["key"])
+                assert r["other"] is None or close(r["key"], r["other"])
+                assert r["g"] is None or r["other"] is not None
+        large = {sig for sig, g in got if g is None}
+        assert bool(large) == (met == 3)
+        assert all(sorted(got.pop((sig, None))) == whole[sig] and len(whole[sig]) > met for sig in large)
+        # Sigs of equal keys have one name.
+        want = Counter(keys for sig, keys in met_keys.items() if sig not in large and keys)
+        assert {tuple(sorted(set(v))): len(v) for v in got.values()} == {keys: len(keys) * n for keys, n in want.items()}
+        assert all(len(set(v)) == g for (_, g), v in got.items())
+
+
 def test_short_lines_that_link_share_a_key():
     rnd = random.Random(2)
     for _ in range(4000):
