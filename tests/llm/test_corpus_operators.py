@@ -7,6 +7,7 @@ import math
 import os
 import random
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import duckdb
 import numpy as np
@@ -366,6 +367,28 @@ def test_line_dedup_links_by_edit_similarity_alone(spark):
 
 
 @needs_data
+def test_lines_of_one_passage_are_compared_without_a_row_for_each_pair(spark, monkeypatch):
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(3, 7)))
+    passage = " ".join(word() for _ in range(14))
+    lines = [" ".join([*(word() for _ in range(4)), passage, *(word() for _ in range(4))]) for _ in range(60)]
+    lines += [x[:-1] + "z" for x in lines[:5]]
+    counts = {}
+
+    def counted(df, label):
+        out = written(df, label)
+        counts[label] = max(counts.get(label, 0), out.count())
+        return out
+
+    written = linking.written
+    for module in (line_dedup, linking):
+        monkeypatch.setattr(module, "written", counted)
+    monkeypatch.setattr(linking, "BLOCK", 16)
+    got = {r.id: r.keep for r in line_dedup.line_groups(spark.createDataFrame(list(enumerate(lines)), "doc_id int, text string"), min_words=1, max_bits=None).collect()}
+    assert got == {k: k < 60 for k in range(65)} and not any(line_dedup.links(x, y) for x, y in combinations(lines[:60], 2))
+    assert max(v for k, v in counts.items() if k not in ("shared", "groups", "members", "rooted")) <= 2 * 65, counts
+
+
 def test_line_dedup_query_drops_short_repeats(spark):
     """Every repeat of a line with text goes, of one and two words too."""
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
