@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cantera.functions.dates import strict_date
-from cantera.operators.nested import ABSENT, Number, json_doubts
+from cantera.operators.nested import ABSENT, Number, json_doubts, only
 
 RULE = "doc_type string, place string, node_type string, member string, test string, bound string, severity string, code string"
 MOST = 10_000
@@ -108,33 +108,46 @@ def _day(v: object) -> bool:
         return False
 
 
+def _each(good: Callable[[object], bool], low: float, high: float) -> Callable[[object], bool]:
+    def sure(v: object) -> bool:
+        if type(v) is not list or not low <= len(v) <= high:
+            return False
+        for x in v:
+            if not good(x):
+                return False
+        return True
+
+    return sure
+
+
 def cleared(test: str, bound: str | None) -> Callable[[object], bool]:
     """What tells cheaply, of a parsed value or ``ABSENT``, that it surely doesn't break a test; what isn't cleared is for ``TESTS`` to judge."""
     text = lambda v: type(v) is str
     filled = lambda v: type(v) is str and v.strip() != ""
-    all_of = lambda v, good: isinstance(v, list) and all(good(x) for x in v)
     kind = test.removeprefix("optional-")
-    if kind in ("at-most", "text-at-most"):
+    if kind == "unique":
+        return only
+    elif kind in ("at-most", "text-at-most"):
         most = int(bound)
         sure = lambda v: len(v) <= most if type(v) is str else kind == "at-most"
     elif kind in ("one-of", "required-one-of", "is"):
         wanted = frozenset([bound] if kind == "is" else bound.split("|"))
         sure = lambda v: type(v) is str and v in wanted
     elif kind in ("matches", "web-address"):
-        sure = _matcher(WEB if bound is None else bound) if kind == "web-address" else _matcher(bound)
+        sure = _matcher(WEB if kind == "web-address" else bound)
     elif kind == "number":
         low, high = _range(bound)
         sure = lambda v: type(v) is Number and low <= float(v) <= high
     elif kind in ("list", "texts", "strings"):
         low, high = _range(bound or "..") if test != "optional-list" and test != "optional-texts" else _range("..")
-        good = {"list": lambda v: True, "texts": filled, "strings": text}[kind]
-        sure = lambda v: all_of(v, good) and low <= len(v) <= high
+        sure = (lambda v: type(v) is list and low <= len(v) <= high) if kind == "list" else _each(filled if kind == "texts" else text, low, high)
     else:
+        each = _each(lambda x: type(x) is dict, *_range(".."))
         sure = {
-            "text": text if test == "optional-text" else filled, "full-text": filled, "boolean": lambda v: isinstance(v, bool), "positive": lambda v: type(v) is Number and float(v) > 0, "date": _day, "object": lambda v: isinstance(v, dict),
-            "reference": lambda v: isinstance(v, dict) and v.get("_type") == "reference" and type(v["_type"]) is str and type(v.get("_ref")) is str, "objects": lambda v: not isinstance(v, list) or all_of(v, lambda x: isinstance(x, dict)),
+            "text": text if test == "optional-text" else filled, "full-text": filled, "boolean": lambda v: isinstance(v, bool), "positive": lambda v: type(v) is Number and float(v) > 0, "date": _day, "object": lambda v: type(v) is dict,
+            "reference": lambda v: type(v) is dict and v.get("_type") == "reference" and type(v["_type"]) is str and type(v.get("_ref")) is str, "objects": lambda v: type(v) is not list or each(v),
         }.get(kind, lambda v: False)
-    return (lambda v: v is ABSENT or sure(v)) if test in OPTIONAL else (lambda v: v is not ABSENT and sure(v))
+    return (lambda v: v is ABSENT or sure(v)) if test in OPTIONAL else sure
 
 
 def rules_of(table: DataFrame) -> list[tuple[str | None, ...]]:
@@ -200,8 +213,9 @@ def _repeats(rows: DataFrame, rules: list[tuple[str | None, ...]], keys: list[st
 def issues(documents: DataFrame, rules: Iterable[tuple[str | None, ...]], key: str = "id", column: str = "json") -> DataFrame:
     """(key, path, code, severity): the same as ``violations`` of the objects of documents (key, column), without a row for each.
 
-    The task that walks a document clears what surely breaks no rule (``cleared``); members in
-    doubt become rows, and ``TESTS`` judges these.
+    The task that walks a document clears what surely breaks no rule (``cleared``) and tells
+    which texts have to be unique and aren't; members in doubt become rows, and ``TESTS``
+    judges these. Nothing is shuffled; documents are told apart even if their keys are equal.
     """
     rules = checked(rules)
     doubts = json_doubts(documents, column, F.col(key), [(*r[:4], partial(cleared, r[4], r[5])) for r in rules])
@@ -210,15 +224,14 @@ def issues(documents: DataFrame, rules: Iterable[tuple[str | None, ...]], key: s
         by_test.setdefault(r[4:6], []).append(n)
     broken = F.col("rule").isNull()
     for (test, bound), numbers in by_test.items():
-        judged = F.col("member")["text"].isNotNull() if test == "unique" else F.coalesce(TESTS[test](F.col("member"), bound), F.lit(False))
+        judged = F.lit(True) if test == "unique" else F.coalesce(TESTS[test](F.col("member"), bound), F.lit(False))
         broken = F.when(F.col("rule").isin(*numbers), judged).otherwise(broken)
-    said = F.when(F.col("rule").isNull(), F.struct(F.lit(None).cast("string").alias("member"), F.lit("json").alias("code"), F.lit("error").alias("severity"), F.lit(False).alias("once")))
+    said = F.when(F.col("rule").isNull(), F.struct(F.lit(None).cast("string").alias("member"), F.lit("json").alias("code"), F.lit("error").alias("severity")))
     if rules:
-        said = said.otherwise(F.get(F.array(*[F.struct(F.lit(r[3]).alias("member"), F.lit(r[7]).alias("code"), F.lit(r[6]).alias("severity"), F.lit(r[4] == "unique").alias("once")) for r in rules]), F.col("rule")))
+        said = said.otherwise(F.get(F.array(*[F.struct(F.lit(r[3]).alias("member"), F.lit(r[7]).alias("code"), F.lit(r[6]).alias("severity")) for r in rules]), F.col("rule")))
     rows = doubts.where(broken).withColumn("_said", said)
     path = F.when(F.col("rule").isNull(), "").when(F.col("path") == "", F.col("_said.member")).otherwise(F.concat("path", F.lit("."), "_said.member"))
-    rows = rows.select(F.col("key").alias(key), "place", "pos", path.alias("path"), "_said.code", "_said.severity", F.when(F.col("_said.once"), F.col("member.text")).alias("text"))
-    return _repeats(rows, rules, [key]).select(key, "path", "code", "severity")
+    return rows.select(F.col("key").alias(key), path.alias("path"), "_said.code", "_said.severity")
 
 
 def outcomes(found: DataFrame, documents: DataFrame, key: str, checked_: Column | None = None) -> DataFrame:

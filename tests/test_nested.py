@@ -171,3 +171,15 @@ def test_documents_without_faults_leave_no_rows(spark):
     text = json.dumps({"_id": "business-1", "_type": "business", "language": "es", "slug": slug("a"), "name": "n", "businessKind": "bar", "shortDescription": "s", "website": "https://x.example", "categories": [{"_type": "reference", "_ref": "category-1"}], "lastVerified": "2026-01-01"})
     rules = [(*r[:4], lambda r=r: rule_tables.cleared(*r[4:6])) for r in document_rules.RULES]
     assert nested.json_doubts(spark.createDataFrame([("business-1", text)], "id string, json string"), "json", F.col("id"), rules).count() == 0
+
+
+def test_what_has_to_be_unique_is_told_where_documents_are_walked(spark):
+    """By document, also if two have one id; nothing is shuffled, and only what is repeated leaves the walk."""
+    rules = [(None, "l[].k[]", None, "v", "unique", None, "error", "v"), (None, "o", None, "v", "unique", None, "error", "o")]
+    one = {"o": {"v": "a"}, "l": [{"k": [{"v": "a"}, {"v": "b"}, {"v": 1}]}, {"k": [{"v": "b"}, {"v": {"_ref": "a"}}, {"v": "1"}, {"v": None}, {}]}]}
+    df = spark.createDataFrame([("d", json.dumps(one)), ("e", json.dumps({"l": [{"k": [{"v": "a"}]}]})), ("f", json.dumps({"o": {"v": "a"}}))], "id string, json string")
+    found = rule_tables.issues(df, rules)
+    # Of equal texts, the first in its list stays: "b" of the second list is the first there.
+    assert sorted((r.id, r.path) for r in found.collect()) == [("d", "l[0].k[1].v"), ("d", "l[1].k[1].v"), ("d", "l[1].k[2].v")]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert rule_tables.issues(df.select(F.lit("d").alias("id"), "json"), rules).count() == 3
