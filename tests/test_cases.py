@@ -7,6 +7,7 @@ import duckdb
 
 from cantera import plans
 from cantera.functions.html import elements, spelled
+from cantera.operators import pairs
 
 
 def same(spark, folder, name, **tables):
@@ -65,6 +66,29 @@ def test_duplicates_are_not_shuffled(spark, tmp_path):
     assert "keys=[a_id" not in physical(spark, tmp_path, "catalogue_duplicates")
 
 
+def lines_of(plan):
+    return plan.optimizedPlan().toString().splitlines()
+
+
+def test_distances_are_measured_where_a_grade_may_come_of_them(spark, tmp_path):
+    rows = [(k, "HOUSEHOLD" if k % 2 else "BUILDING", k % 3) for k in range(0, 6000, 37)] + [(k + 401 * 307, "HOUSEHOLD", k % 3) for k in range(1, 40)]
+    customer = spark.createDataFrame(rows, "c_custkey bigint, c_mktsegment string, c_nationkey int")
+    assert same(spark, tmp_path, "catalogue_duplicates", customer=customer)
+    found = [x for x in lines_of(plans.QUERIES["catalogue_duplicates"](spark, str(tmp_path))._jdf.queryExecution()) if "Join Inner" in x]
+    first = [x for x in found if "abs((a_lat" in x]
+    assert len(first) == 2 and all("ASIN" not in x.split("abs((a_lat")[0] for x in first)
+
+
+def test_lines_and_pages_of_one_class_meet_as_lists(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pairs, "LISTED", 3)
+    rows = [(k, "red pin", "PROMO" if k % 5 == 0 else "LARGE", k % 4, 901.0, f"Brand#{k % 2}") for k in range(60)]
+    part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_size int, p_retailprice double, p_brand string")
+    for name, last in (("fact_supports", "explode(claims"), ("link_proposals", "explode(onto")):
+        same(spark, tmp_path / name, name, part=part)
+        plan = lines_of(plans.QUERIES[name](spark, str(tmp_path / name))._jdf.queryExecution())
+        assert any(last in x for x in plan) and not any("_parts" in x or "array_intersect" in x for x in plan[: next(k for k, x in enumerate(plan) if last in x)])
+
+
 def test_few_places_are_the_side_sent(spark, tmp_path):
     rows = [(k, f"red pin{k % 7}", "PROMO" if k % 5 == 0 else "ECONOMY", 45 + k % 4, f"Brand#{k % 3}") for k in range(60)]
     part = spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_type string, p_size int, p_brand string")
